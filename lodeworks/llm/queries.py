@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, token_counts
+from . import mixing, packing, quality, sharding, token_counts, toxicity
 from .common import read_table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(read_table(spark, sf_dir, "documents"))
 
@@ -25,8 +33,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op7_token_counts, op9_pack, op10_shard)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_mix_sources, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": mixing.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op3_mix_sources": mixing.oracle()}
