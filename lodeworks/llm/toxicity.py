@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: labels of documents train a score of sentences.
 
-A sentence's score is the logistic of summed weights of its words' features (hashes of the word, of its
-first four and of its first five letters). A document is toxic if any of its sentences is, so its score
+A sentence's score is the logistic of summed weights of its words' features (hashes of the word and of
+its first four, five and six letters); features of few documents have no weight. A document is toxic if any of its sentences is, so its score
 is their noisy-or, 1 - product of (1 - p). The weights are trained through the noisy-or on document
 labels alone; the sentence scores then locate what is offensive.
 
@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 
 #: Labelled rows of each label, at most, in the training sample, and characters of each.
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
-FEATURES, EPOCHS, RATE, DECAY = 1 << 18, 40, 0.3, 1e-4
+FEATURES, EPOCHS, RATE, DECAY, LEAST_ROWS = 1 << 20, 60, 0.1, 5e-4, 5
+#: Weights start as this part of the log odds, a sentence without evidence at this logit.
+START, BIAS = 0.8, -8.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 REMEMBERED = 600_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -35,8 +37,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    raw = (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")
-    return [zlib.crc32(x.encode()) % FEATURES for x in (raw if len(word) > 4 else raw[:1])]
+    return [zlib.crc32(x.encode()) % FEATURES for x in (f"w {word}", *(f"{k} {word[:k]}" for k in (4, 5, 6) if len(word) > k))]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -71,8 +72,9 @@ def train(rows: list[tuple[str, int]]) -> np.ndarray:
     of, doc = seen // len(rows), seen % len(rows)
     hot = np.bincount(of, labels[doc], FEATURES)
     cold = np.bincount(of, 1 - labels[doc], FEATURES)
-    weights[:-1] = 0.5 * np.clip(np.log((hot + 0.5) / (labels.sum() + 1)) - np.log((cold + 0.5) / ((1 - labels).sum() + 1)), -1, 4) * ((hot + cold) >= 3)
-    weights[-1] = -4.0
+    used = np.append(hot + cold >= LEAST_ROWS, True)
+    weights[:-1] = START * np.clip(np.log((hot + 0.5) / (labels.sum() + 1)) - np.log((cold + 0.5) / ((1 - labels).sum() + 1)), -1, 4) * used[:-1]
+    weights[-1] = BIAS
     sums = np.full(FEATURES + 1, 1e-8)
     n_sent = len(doc_of)
     for _ in range(EPOCHS):
@@ -81,9 +83,10 @@ def train(rows: list[tuple[str, int]]) -> np.ndarray:
         s = np.bincount(doc_of, soft, len(rows))
         p = np.clip(-np.expm1(-s), 1e-9, 1 - 1e-9)
         # d loss / d s of a document: 1 - y/p; times the sentence's own p
-        slope = (1 - labels / p)[doc_of] / (1 + np.exp(-z))
+        slope = (1 - labels / p)[doc_of] * np.exp(-np.logaddexp(0, -z))
         grad = np.append(np.bincount(feats, slope[sent_of], FEATURES), slope.sum()) / len(rows)
         grad[:-1] += DECAY * weights[:-1]
+        grad *= used
         sums += grad * grad
         weights -= RATE * grad / np.sqrt(sums)
     return weights
@@ -132,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, locate: bool = False, least: flo
             total = np.add.reduceat(np.logaddexp(0, z), starts) if starts else np.zeros(0)
             columns = [batch.column(0), pa.array(-np.expm1(-total))]
             if locate:
-                p = 1 / (1 + np.exp(-z))
+                p = np.exp(-np.logaddexp(0, -z))
                 columns.append(pa.array([[(a, b, float(p[s + k])) for k, (a, b) in enumerate(span) if p[s + k] >= least] for s, span in zip(starts, spans, strict=True)], arrow))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
