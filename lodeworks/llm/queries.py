@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding, token_counts, toxicity
+from . import embed_dedup, mixing, packing, quality, sharding, token_counts, toxicity
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
@@ -33,8 +37,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mix_sources, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_mix_sources, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.oracle(), "op3_mix_sources": mixing.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op2_embedding_dedup": embed_dedup.oracle(), "op3_mix_sources": mixing.oracle()}
