@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity
+from . import embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts, toxicity
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_mix_sources, op4_ngram_join, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_mix_sources, op4_ngram_join, op5_personal_data, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
 
 
 def oracle_sql() -> dict:
