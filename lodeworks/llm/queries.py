@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts, toxicity
+from . import embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -36,6 +36,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_mix_sources, op4_ngram_join, op5_personal_data, op6_toxicity, op7_token_counts, op9_pack, op10_shard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_mix_sources, op4_ngram_join, op5_personal_data, op6_toxicity, op7_token_counts, op8_suffix_dedup, op9_pack, op10_shard)}
 
 
 def oracle_sql() -> dict:
