@@ -1,50 +1,17 @@
-"""What the corpus operators share: words, shared storage, size-checked broadcasts, global row numbers, components."""
+"""What the corpus operators share: words, and the engine's storage, numbering and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word of every contract: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: A side is broadcast only if it was counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 50_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session's spark.checkpoint.dir names it; a temporary one where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeworks-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..operators.components import components
+from ..storage import broadcast_if_small, global_row_number, materialize, read_table, release, shared_dir, shuffle_partitions
 
+__all__ = ["WORD", "broadcast_if_small", "components", "global_row_number", "let", "materialize", "read_table", "release", "shared_dir", "shuffle_partitions", "text_or_empty"]
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count finds it small; else as it is, for a shuffled join that AQE may split."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: A word of every contract: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def let(value: Column, body) -> Column:
@@ -54,71 +21,3 @@ def let(value: Column, body) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def global_row_number(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
-    """df with long column _row, 0.. in the order of the given columns, and the number of rows.
-
-    Rows are range-partitioned, numbered inside each partition and shifted by the counts of the
-    partitions before; no task sees more than its range. Ties are between interchangeable rows.
-    """
-    spark = df.sparkSession
-    dealt = materialize(df.repartitionByRange(shuffle_partitions(spark), *order).withColumn("_pid", F.spark_partition_id()), name)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_pid").agg(F.count("*").alias("_n"))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
-    shifts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    out = dealt.withColumn("_at", inside).join(broadcast_if_small(shifts), "_pid")
-    return out.withColumn("_row", F.col("_at") - 1 + F.col("_shift")).drop("_pid", "_at", "_shift"), n
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of undirected edges (a, b), longs: component is the smallest node reachable.
-
-    Rounds of minimum labels with pointer jumping: every node takes the least label among itself and
-    its neighbours, then the label of its label; nodes merged into a star drop out as their edges
-    contract. Hubs cost no more than a partial minimum, and each round is a written table. Only the
-    number of changed labels comes to the driver.
-    """
-    spark = edges.sparkSession
-    both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # left: every node points to a smaller one or itself; edges are rewritten between the roots they lead to
-    live = materialize(both, name)
-    parents = None
-    while live.limit(1).count():
-        down = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        step = materialize(jump(down, name), name)  # node -> root of its star, for nodes that have a smaller neighbour
-        parents = step if parents is None else compose(parents, step)
-        parents = materialize(parents, name)
-        a = step.select(F.col("node").alias("a"), F.col("up").alias("ra"))
-        b = step.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        left = live.join(a, "a", "left").join(b, "b", "left")
-        left = left.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-        live = materialize(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-    if parents is None:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = parents.select(F.col("up").alias("node")).distinct().withColumn("component", F.col("node"))
-    return parents.select("node", F.col("up").alias("component")).unionByName(roots)
-
-
-def jump(down: DataFrame, name: str) -> DataFrame:
-    """(node, up) with up < node, followed until up is a root; path lengths halve each round."""
-    now = materialize(down, name)
-    while True:
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        nxt = materialize(now.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")), name)
-        if not nxt.where("moved").limit(1).count():
-            return now
-        now = nxt.drop("moved")
-
-
-def compose(parents: DataFrame, step: DataFrame) -> DataFrame:
-    """parents followed by step: nodes keep their entry, roots that step moved get one."""
-    s = step.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-    moved = parents.join(s, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
-    return moved.unionByName(step.join(parents.select("node"), "node", "left_anti").select("node", "up"))
