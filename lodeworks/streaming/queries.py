@@ -13,7 +13,8 @@ from ..storage import materialize, new_path
 
 def windowed_distinct(stream: DataFrame, window: str = "30 seconds", slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:
     """(window_start, truth, estimate) of a stream of (ts, city), with a watermark so that old windows leave the state."""
-    return sketch.windowed_counts(stream.withWatermark("ts", late), window, slide)
+    stamped = stream.withColumn("ts", stream["ts"].cast("timestamp"))
+    return sketch.windowed_counts(stamped.withWatermark("ts", late), window, slide)
 
 
 def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "5 seconds", mode: str = "append") -> StreamingQuery:
