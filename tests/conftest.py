@@ -1,4 +1,4 @@
-"""One session for all tests, and a comparison with DuckDB over the same rows."""
+"""One session for all tests."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -29,32 +28,3 @@ def data() -> str:
     if not os.path.isdir(DATA):
         pytest.skip("the driver's tables are not here")
     return DATA
-
-
-def cell(v):
-    if v is None or v != v:
-        return "null"
-    return repr(round(v, 7)) if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
-
-
-def rows(columns, values) -> list[tuple]:
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(cell(r[i]) for i in order) for r in values)
-
-
-def of_spark(df) -> tuple[list[str], list[tuple]]:
-    return sorted(df.columns), rows(df.columns, [tuple(r) for r in df.collect()])
-
-
-def of_duckdb(sql: str, tables: dict) -> tuple[list[str], list[tuple]]:
-    """sql over tables: paths of Parquet files, or DataFrames."""
-    import duckdb
-
-    con = duckdb.connect()
-    for name, t in tables.items():
-        if isinstance(t, str):
-            con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{t}'")
-        else:
-            con.register(name, t.toArrow())
-    out = con.sql(sql)
-    return sorted(out.columns), rows(out.columns, out.fetchall())

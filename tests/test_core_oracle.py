@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import TABLES, of_duckdb, of_spark
+from harness import TABLES, of_duckdb, of_spark
 
 from lodeworks.plans import registry
 
