@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: labels of documents train a score of sentences.
 
-A sentence's score is the logistic of summed weights of its words' features (hashes of the word and of
+A sentence's score is the logistic of summed weights of its distinct words' features (hashes of the word and of
 its first four, five and six letters); features of few documents have no weight. A document is toxic if any of its sentences is, so its score
 is their noisy-or, 1 - product of (1 - p). The weights are trained through the noisy-or on document
 labels alone; the sentence scores then locate what is offensive.
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 FEATURES, EPOCHS, RATE, DECAY, LEAST_ROWS = 1 << 20, 60, 0.1, 5e-4, 5
 #: Weights start as this part of the log odds, a sentence without evidence at this logit.
-START, BIAS = 0.8, -8.0
+START, BIAS = 0.8, -10.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 REMEMBERED = 600_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -41,8 +41,8 @@ def features(word: str) -> list[int]:
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of each sentence that has words; one empty sentence if none has."""
-    found = [(m.start(), m.end(), w) for m in SENTENCE.finditer(text) if (w := TOKEN.findall(m[0].lower()))]
+    """(start, end, distinct lower-case words) of each sentence that has words; one empty sentence if none has."""
+    found = [(m.start(), m.end(), w) for m in SENTENCE.finditer(text) if (w := list(dict.fromkeys(TOKEN.findall(m[0].lower()))))]
     return found or [(0, len(text), [])]
 
 
