@@ -12,13 +12,14 @@ documents are not yet of one component, every document outside the list's larges
 others, unless already connected. No pair that could join two components is left out, and a group of m
 near copies takes about m verifications, not m * m. Equal sets stand for each other from the start.
 
-The order is an estimate: n-grams met often within blocks of documents, counted over all documents, come
-last by count, the others by hash. Any order gives the same result; this one keeps lists short.
+The order is by the number of documents, counted over all of them, so the n-grams that an edit has made
+come first and lists stay short. Any order gives the same result.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lower-cased; with fewer words than
 n, the whole sequence is the one n-gram; a null or wordless text is an empty set and links with nothing;
-rows that repeat are documents of their own with the same class; an empty table gives no rows. n-grams
-and sets are compared by 64-bit hashes (sets by 128 bits where they stand for each other).
+rows that repeat are documents of their own with the same class; ids are integers, null is one; an empty
+table gives no rows. n-grams are compared by 64-bit hashes (48 bits in the order, which verification
+follows); sets that stand for each other agree in 128 bits.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, release
+from .common import components, materialize, release, shuffle_partitions
+from .packed import by_key, packed, rows_of, runs
 
 
 @dataclass(frozen=True)
@@ -46,9 +49,6 @@ class JoinParams:
     matches: int = 3
     #: Cost of verifying a candidate, in list entries.
     verify_cost: int = 40
-    #: n-grams seen this often within a block of documents count as frequent; so many of them are ordered by count.
-    frequent_in_block: int = 5
-    frequent: int = 100_000
     #: Narrow rows up to which a side of ids is broadcast, after a count.
     broadcast_ids: int = 500_000
 
@@ -57,7 +57,7 @@ class JoinParams:
 
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,55 +96,96 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
     return int(sums[0]), int(sums[1])
 
 
-def frequent_ngrams(docs: DataFrame, params: JoinParams) -> list[tuple[int, int]]:
-    """(n-gram, estimated count) of the most frequent; at most params.frequent come to the driver."""
+ENTRIES, DOCUMENTS, SHARED = 0, 1, 2
+BLOB = "bucket long, kind int, block long, a binary, b binary, c binary, d binary"
+BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+#: n-grams in the order are held by so many bits.
+BITS = 48
+SLICE = 4000
+NO_ID = -(2**63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in batches:
-            texts, seen = batch.column(0), []
-            for lo in range(0, len(texts), 2000):
-                grams = [ngram_set(t.as_buffer().to_pybytes(), params.words, known) for t in texts[lo : lo + 2000].cast(pa.binary()).drop_null()]
-                value, count = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, int))
-                keep = count >= params.frequent_in_block
-                seen.append((value[keep], count[keep]))
-            value, count = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.uint64).view(np.int64)), pa.array(count.astype(np.int64))], names=["g", "c"])
 
-    counts = docs.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    return [(r["g"], r["c"]) for r in counts.orderBy(F.desc("c"), "g").limit(params.frequent).collect()]
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what is alike in neighbours compresses."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def prefixes(docs: DataFrame, frequent: list[tuple[int, int]], params: JoinParams) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix) of every row: set size, its 128 bits and the longest prefix that any l can ask for."""
-    spark = docs.sparkSession
-    table = np.array(sorted(frequent), np.int64).reshape(-1, 2)
-    values = table[:, 0].view(np.uint64)
-    order = np.argsort(values)
-    shared = spark.sparkContext.broadcast((values[order], table[order, 1]))  # at most params.frequent pairs
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def unplaned(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = shared.value
-        known = Words()
-        for batch in batches:
-            rows, parts, ends = [], [], [0]
-            for t in batch.column(1).cast(pa.binary()):
-                grams = ngram_set(t.as_buffer().to_pybytes() if t.is_valid else b"", params.words, known)
-                n = len(grams)
-                rows.append((n, *set_key(grams)))
-                length = min(n, n - params.least_overlap(n) + params.matches) if n else 0
-                if len(often) and n:
-                    at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-                    c = np.where(often[at] == grams, count[at], 0)
-                    grams = grams[np.argsort(c, kind="stable")]
-                parts.append(grams[:length])
-                ends.append(ends[-1] + length)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            columns = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([], [], []))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def sorted_prefixes(docs: DataFrame, params: JoinParams) -> DataFrame:
+    """(doc_id, n, k1, k2, alone, tokens) of every row: set size, its 128 bits, how many n-grams no other document has, and, in the order, the others as far as any l can ask.
+
+    Every n-gram goes to its bucket, in packed arrays of a block of documents; there those of two
+    documents or more are counted and go back to their documents, the rest stay behind.
+    """
+    spark = docs.sparkSession
+    n_parts = shuffle_partitions(spark)
+    shift = max(6, (4 * n_parts - 1).bit_length())  # buckets, as many as the partitions ask for, by the leading bits
+    kept = np.uint64(64 - BITS)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part, number = Words(), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                batch, block = whole.slice(lo, SLICE), part << 24 | number
+                number += 1
+                grams, rows = [], []
+                for t in batch.column(1).cast(pa.binary()):
+                    g = ngram_set(t.as_buffer().to_pybytes() if t.is_valid else b"", params.words, known)
+                    rows.append((len(g), *set_key(g)))
+                    grams.append(g >> kept)
+                doc = np.repeat(np.arange(len(grams), dtype=np.uint16), [len(g) for g in grams])
+                g = np.concatenate(grams)
+                order = np.argsort(g, kind="stable")
+                g, doc = g[order], doc[order]
+                bucket = (g >> np.uint64(BITS - shift)).astype(np.int64)
+                starts = [*runs(bucket), len(g)]
+                ids = np.array([NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
+                n, k1, k2 = (np.array(c, np.int64).tobytes() for c in zip(*rows, strict=True))
+                out = [(block, DOCUMENTS, block, ids.tobytes(), n, k1, k2)]
+                out += [(int(bucket[i]), ENTRIES, block, planes(np.diff(g[i:j], prepend=np.uint64(0))), doc[i:j].tobytes(), b"", b"") for i, j in zip(starts, starts[1:], strict=False)]
+                yield packed(out, BLOB_ARROW)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            out = [r for r in rows if r[1] == DOCUMENTS]
+            rows = [r for r in rows if r[1] == ENTRIES]
+            if rows:
+                parts = [np.cumsum(unplaned(r[3])) for r in rows]
+                g, doc = np.concatenate(parts), np.concatenate([np.frombuffer(r[4], np.uint16) for r in rows])
+                block = np.repeat(np.array([r[2] for r in rows], np.int64), [len(x) for x in parts])
+                order = np.argsort(g, kind="stable")
+                start = runs(g[order])
+                df = np.diff(np.append(start, len(g)))
+                keep = order[np.repeat(df > 1, df)]
+                df = np.minimum(np.repeat(df, df)[np.repeat(df > 1, df)], 2**32 - 1).astype(np.uint32)
+                out += [(b, SHARED, b, x.tobytes(), d.tobytes(), c.tobytes(), b"") for b, x, d, c in rows_of(block[keep], g[keep], doc[keep], df)]
+            if out:
+                yield packed(out, BLOB_ARROW)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("alone", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            ids, n, k1, k2 = (np.frombuffer(x, np.int64) for x in next(r[3:] for r in rows if r[1] == DOCUMENTS))
+            shared = [r for r in rows if r[1] == SHARED]
+            g, doc, df = (np.concatenate([np.frombuffer(r[k], t) for r in shared]) if shared else np.zeros(0, t) for k, t in ((3, np.uint64), (4, np.uint16), (5, np.uint32)))
+            order = np.lexsort((g, df, doc))
+            g, doc = g[order].view(np.int64), doc[order]
+            first = np.searchsorted(doc, np.arange(len(ids) + 1))
+            alone = n - np.diff(first)
+            room = np.maximum(np.where(n > 0, np.minimum(n, n - params.least_overlap(n) + params.matches), 0) - alone, 0)
+            take = np.minimum(room, np.diff(first))
+            at = np.repeat(first[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(g[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(n), pa.array(k1), pa.array(k2), pa.array(alone), tokens], schema=schema)
+
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(blocks, BLOB)
+    back = sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, BLOB)
+    rows = back.repartition(n_parts, "block").sortWithinPartitions("block").select("block", "kind", "block", "a", "b", "c", "d")
+    return materialize(rows.toDF("bucket", "kind", "block", "a", "b", "c", "d").mapInArrow(documents, "doc_id long, n long, k1 long, k2 long, alone long, tokens array<long>"), "join-sets")
 
 
 def least_overlap(n: Column, params: JoinParams) -> Column:
@@ -210,10 +251,11 @@ def candidates(lists: DataFrame, comps: DataFrame, params: JoinParams) -> DataFr
 def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    sets = materialize(prefixes(docs, frequent_ngrams(docs, params), params), "join-sets")
-    nodes = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    sets = sorted_prefixes(docs, params)
+    release(spark)
+    nodes = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"))
     nodes = materialize(nodes, "join-nodes")
-    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = nodes.select("node", "n", "alone", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     lists = materialize(tokens.join(shared, "token"), "join-shared")
     need = least_overlap(F.col("n"), params)

@@ -157,7 +157,7 @@ def discovered(slim: DataFrame, params: PiiParams, key: list[str]) -> DataFrame:
     trusted = reliable_patterns(seen.select(rid.alias("rid"), "kind", "value", "pattern"), params).withColumnRenamed("kind", "k")
     loose = seen.where("kind is null").join(broadcast_if_small(trusted), "pattern").where(fits(F.col("k"), F.col("value")))
     spans = loose.groupBy(*key, "start", "end").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind"))
-    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("kind").alias("kind"), F.col("end")))).alias("found"))
+    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("kind").alias("kind"), F.col("end")))).alias("_lw_found"))
 
 
 def joined(spans: Column) -> Column:
@@ -170,7 +170,7 @@ def find(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     slim = materialize(with_spans(docs, params, [F.col("doc_id"), F.monotonically_increasing_id().alias("rid")]), "pii-rows")
     more = materialize(discovered(slim, params, ["rid"]), "pii-found")
     out = slim.select("doc_id", "rid", "base").join(broadcast_if_small(more), "rid", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    every = F.array_sort(F.concat("base", F.coalesce("_lw_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     n = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     return out.select("doc_id", *[n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     text = F.col("text")
     if more.limit(1).count():
         rows = docs.withColumns({"_lw_d": F.col("doc_id"), "_lw_t": F.xxhash64("text")}).join(broadcast_if_small(more), F.col("_lw_d").eqNullSafe(F.col("_lw_doc")) & (F.col("_lw_t") == F.col("_lw_text")), "left")
-        spans = F.array_sort(F.concat(base_spans(text), F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+        spans = F.array_sort(F.concat(base_spans(text), F.coalesce("_lw_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     else:
         rows, spans = docs, base_spans(text)
     rows = rows.withColumn("_lw_spans", spans)
