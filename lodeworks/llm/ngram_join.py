@@ -4,7 +4,8 @@ A document is the set of its distinct n-grams in one global order, rare before f
 Jaccard similarity t or more share at least l of their first |x| - ceil(t|x|) + l elements, for any l up
 to ceil(t|x|). Each document picks its own l: a longer prefix scans more lists but demands more shared
 elements, so l is the one whose estimated cost, lists scanned plus candidates to verify, is least. A
-pair is a candidate if the chosen prefixes share min(l, l') elements; candidates are verified exactly.
+pair is a candidate if the chosen prefixes share min(l, l') elements and what stands before their first
+shared lists leaves room for the overlap; candidates are verified exactly.
 
 Only links between components matter for the classes, so pairs are sought in two steps. First each
 document is verified against one document of those it shares most lists with. Then, in lists whose
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, materialize, release, shuffle_partitions
-from .packed import by_key, packed, rows_of, runs
+from .packed import by_key, packed, planes, rows_of, runs, unplaned
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class JoinParams:
 
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,19 +102,10 @@ BLOB = "bucket long, kind int, block long, a binary, b binary, c binary, d binar
 BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 #: n-grams in the order are held by so many bits.
 BITS = 48
-SLICE = 4000
+SLICE = 2000
 NO_ID = -(2**63)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: what is alike in neighbours compresses."""
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplaned(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
 def sorted_prefixes(docs: DataFrame, params: JoinParams) -> DataFrame:
     """(doc_id, n, k1, k2, alone, tokens) of every row: set size, its 128 bits, how many n-grams no other document has, and, in the order, the others as far as any l can ask.
 
@@ -192,8 +184,20 @@ def least_overlap(n: Column, params: JoinParams) -> Column:
     return F.ceil(n * params.numerator / F.lit(params.denominator)).cast("long") if params.denominator == 1 else F.floor((n * params.numerator + (params.denominator - 1)) / params.denominator).cast("long")
 
 
-def similar_size(a: str, b: str, params: JoinParams) -> Column:
-    return F.least(a, b) * params.denominator >= F.greatest(a, b) * params.numerator
+def overlap_needed(n: Column, m: Column, params: JoinParams) -> Column:
+    """Least overlap of sets of n and m elements with the similarity."""
+    whole = params.numerator + params.denominator
+    return F.floor(((n + m) * params.numerator + (whole - 1)) / whole)
+
+
+def possible(a: tuple[str, str], b: tuple[str, str], params: JoinParams) -> Column:
+    """Whether two sets can have the similarity: (size, place of the first element that any other set has) of each.
+
+    What stands before that place is in no other set, so it bounds the overlap.
+    """
+    (n, first), (m, other) = ((F.col(x), F.col(y)) for x, y in (a, b))
+    need = overlap_needed(n, m, params)
+    return (F.least(n, m) * params.denominator >= F.greatest(n, m) * params.numerator) & (F.least(n - first, m - other) >= need)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
@@ -234,18 +238,30 @@ def text_of(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
 
 
 def candidates(lists: DataFrame, comps: DataFrame, params: JoinParams) -> DataFrame:
-    """(a, b) of different components whose chosen prefixes share as many elements as the lesser l of the two asks for."""
+    """(a, b) of different components whose chosen prefixes share enough.
+
+    A pair comes up once, in the list of the first element that both have. Its places there bound the
+    overlap; so does the number of shared elements plus what the prefix that ends first leaves over.
+    """
     rows = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     rows = materialize(rows, "join-lists")
     parts = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
     rows = rows.join(mixed, "token")
-    a = rows.where("comp <> most").select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "comp")])
-    b = rows.select("token", "most", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "comp")])
+    # the elements of a set's prefix that any list has, in the order
+    elements = rows.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("have"))
+    rows = materialize(rows.join(elements, "node"), "join-mixed")
+    columns = ("node", "n", "first", "pos", "l", "comp", "have")
+    a = rows.where("comp <> most").select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rows.select("token", "most", *[F.col(c).alias(f"b_{c}") for c in columns])
     once = (F.col("b_comp") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    pairs = a.join(b, "token").where((F.col("a_comp") != F.col("b_comp")) & once & similar_size("a_n", "b_n", params))
-    pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_l", "b_l").alias("l"))
-    return pairs.groupBy("a", "b", "l").agg(F.count("*").alias("c")).where("c >= l").select("a", "b")
+    common = F.array_intersect("a_have", "b_have")
+    left = lambda x: least_overlap(F.col(f"{x}_n"), params) - F.col(f"{x}_l")  # noqa: E731  elements behind the chosen prefix
+    need = overlap_needed(F.col("a_n"), F.col("b_n"), params)
+    enough = F.size(common) >= F.greatest(F.least("a_l", "b_l"), need - F.greatest(left("a"), left("b")))
+    at_first = (F.get(common, F.lit(0)) == F.col("token")) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
+    pairs = a.join(b, "token").where((F.col("a_comp") != F.col("b_comp")) & once & possible(("a_n", "a_first"), ("b_n", "b_first"), params) & at_first & enough)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
 def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -260,17 +276,18 @@ def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     lists = materialize(tokens.join(shared, "token"), "join-shared")
     need = least_overlap(F.col("n"), params)
     scan = lambda k: F.sum(F.when(F.col("pos") < F.col("n") - need + k, F.col("df") - 1).otherwise(0))
-    costs = lists.groupBy("node", "n").agg(*[scan(k).alias(f"s{k}") for k in range(1, params.matches + 1)])
+    costs = lists.groupBy("node", "n").agg(F.min("pos").cast("long").alias("first"), *[scan(k).alias(f"s{k}") for k in range(1, params.matches + 1)])
     cost = lambda k: F.when(need >= k, F.col(f"s{k}") + F.col(f"s{k}") * params.verify_cost / F.lit(k))
     best = F.array_min(F.array(*[F.struct(F.coalesce(cost(k), F.lit(float("inf"))).alias("cost"), F.lit(k).alias("l")) for k in range(1, params.matches + 1)]))["l"]
-    chosen = costs.select("node", best.alias("l"))
-    lists = materialize(lists.join(chosen, "node").where(F.col("pos") < F.col("n") - need + F.col("l")).select("token", "node", "n", "l"), "join-chosen")
+    chosen = costs.select("node", "first", best.alias("l"))
+    lists = materialize(lists.join(chosen, "node").where(F.col("pos") < F.col("n") - need + F.col("l")).select("token", "node", "n", "first", "pos", "l"), "join-chosen")
 
-    pivots = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-    star = lists.join(pivots, "token").where((F.col("node") != F.col("pivot")) & similar_size("n", "pn", params))
+    # a list's pivot is the set with the fewest elements of its own: the least edited of a family
+    pivots = lists.groupBy("token").agg(F.min(F.struct("first", "node", "n")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.first").alias("pf"))
+    star = lists.join(pivots, "token").where((F.col("node") != F.col("pivot")) & possible(("n", "first"), ("pn", "pf"), params))
     star = star.groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
     star = materialize(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "join-star")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = materialize(text_of(docs, ends(star).join(nodes.select("node", "rep", "n"), "node"), params), "join-texts")
     edges = materialize(verified(star, texts, params), "join-links")
     release(spark)

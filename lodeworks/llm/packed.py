@@ -39,3 +39,17 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]
 
 def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema.types, strict=True)], names=schema.names)
+
+
+def pair_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal pairs."""
+    return np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes first: what is alike in neighbours compresses."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
