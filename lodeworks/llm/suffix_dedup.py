@@ -12,12 +12,12 @@ task, as executors share no local folder.
 
 Whole documents would take as many rounds as the longest has bytes. So the collection is made of what can
 repeat: each window of `width` bytes holds an anchor, the least of its `seed`-byte strings by hash, and
-equal windows hold equal anchors. Anchors met in one document only drop out. The strings of the
-collection are the surroundings of the others, all windows that can hold the anchor; equal ones stand
-for each other, and only anchors with different surroundings need rounds. Anchors, surroundings and
-results travel as packed arrays, one row for a bucket and a block of documents. A block sends what it
-holds often only once, so that a passage of all documents reaches a task once for each block; anchors
-that are nevertheless frequent are taken apart into windows, which spread over the buckets.
+equal windows hold equal anchors. The strings of the collection are the surroundings of anchors, all
+windows that can hold them; equal surroundings (128 bits of hashes) stand for each other, so only the
+least document of each matters, and only anchors with different surroundings need rounds. Anchors,
+surroundings and results travel as packed arrays, one row for a bucket and a block of documents. A block
+sends equal surroundings only once, so that a passage of all documents reaches a task once for each
+block; anchors that are nevertheless frequent are taken apart into windows, which spread over the buckets.
 
 Defined cases: a null text is empty; a null id comes before all others; rows of equal id do not remove
 from each other; texts shorter than `width` bytes lose nothing; an empty table gives no rows.
@@ -36,14 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, shuffle_partitions, text_or_empty
-from .packed import by_key, packed, rows_of, runs
+from .packed import by_key, packed, pair_runs, planes, rows_of, runs, unplaned
 
 U8 = np.uint64
 PAD = 255  # no byte of UTF-8
 MIX1, MIX2 = U8(0xBF58476D1CE4E5B9), U8(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 LETTERS = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 256, dtype=np.int64).astype(U8) * U8(2) + U8(1)
-MANY = np.uint32(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -77,17 +76,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U8(31))
 
 
-def string_hashes(data: np.ndarray, k: int, powers: Powers) -> np.ndarray:
-    """Hashes of all k-byte strings of data."""
-    n = len(data)
-    if n < k:
-        return np.zeros(0, U8)
-    up, down = powers.get(n)
-    sums = np.zeros(n + 1, U8)
-    np.cumsum(LETTERS[data] * up, out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
-
-
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over each w neighbours."""
     have = 1
@@ -99,17 +87,23 @@ def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, params: DedupParams, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the least seed strings of all windows."""
-    if len(data) < params.width:
-        return np.zeros(0, np.int64), np.zeros(0, U8)
-    h = string_hashes(data, params.seed, powers)
-    w = params.width - params.seed + 1
+def anchors(data: np.ndarray, params: DedupParams, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, hashes of the surroundings) of the least seed strings of all windows."""
+    n, k = len(data), params.seed
+    if n < params.width:
+        return np.zeros(0, np.int64), np.zeros(0, U8), np.zeros(0, U8)
+    up, down = powers.get(n)
+    sums = np.zeros(n + 1, U8)
+    np.cumsum(LETTERS[data] * up, out=sums[1:])
+    h = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    w = params.width - k + 1
     least = sliding(h, w, np.minimum)
     padded = np.zeros(len(least) + 2 * (w - 1), U8)
     padded[w - 1 : w - 1 + len(least)] = least
     at = np.flatnonzero(sliding(padded, w, np.maximum) == h)
-    return at, h[at]
+    low, high = np.maximum(at - (params.width - k), 0), np.minimum(at + params.width, n)
+    around = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(U8) * U8(BASE))
+    return at, mix(h[at] * U8(3)), around  # least hashes are small: mixed again, they spread over the buckets
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,75 +114,90 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), o
 
 
-BLOB = "bucket long, kind int, block long, a binary, b binary, c binary"
-BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-ANCHORS, HITS, DOCUMENTS = 0, 1, 2
+BLOB = "bucket long, kind int, block long, a binary, b binary, c binary, d binary, e binary"
+BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde")])
+ANCHORS, HITS, DOCUMENTS, COVERED = 0, 1, 2, 3
+SLICE = 4000
+
 
+def repeated_anchors(keyed: DataFrame, params: DedupParams) -> DataFrame:
+    """What anchors tell of each document: (rk, low, high, positions, hashes), packed.
 
-def repeated_anchors(keyed: DataFrame, buckets: int, params: DedupParams) -> DataFrame:
-    """(rk, positions, hashes) of the anchors of each document that some other document has too; at rk null the frequent anchors."""
+    An anchor whose surroundings are also those of a smaller document covers them all: intervals low,
+    high. One that has the least document of its surroundings, but stands in others elsewhere, is left
+    to the rounds: positions, hashes. At rk null are the frequent ones among these.
+    """
+    n = shuffle_partitions(keyed.sparkSession)
+    shift = max(6, (4 * n - 1).bit_length())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, part = Powers(), TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            data, offsets = bytes_of(batch.column(1))
-            found = [anchors(data[offsets[i] : offsets[i + 1]], params, powers) for i in range(len(batch))]
-            doc = np.repeat(np.arange(len(found), dtype=np.uint32), [len(p) for p, _ in found])
-            pos = np.concatenate([p for p, _ in found] or [np.zeros(0, int)]).astype(np.uint32)
-            h = np.concatenate([x for _, x in found] or [np.zeros(0, U8)])
-            block = part << 24 | number
-            order = np.argsort(h, kind="stable")
-            start = runs(h[order])
-            length = np.diff(np.append(start, len(h)))
-            many = np.repeat(doc[order][start] != doc[order][start + length - 1], length) if len(h) else np.zeros(0, bool)
-            several = np.zeros(len(h), bool)
-            several[order] = many
-            send = ~several
-            send[order[start]] = True  # one of those that the block has in several documents, without its place
-            place = np.where(several, MANY, doc)[send]
-            out = [(b, ANCHORS, block, x.tobytes(), d.tobytes(), p.tobytes()) for b, x, d, p in rows_of((h[send] % U8(buckets)).astype(np.int64), h[send], place, pos[send])]
-            mine = block % buckets
-            out.append((mine, HITS, block, h[several].tobytes(), doc[several].tobytes(), pos[several].tobytes()))
-            out.append((mine, DOCUMENTS, block, np.array(batch.column(0).to_pylist(), np.int64).tobytes(), b"", b""))
-            yield packed(out, BLOB_ARROW)
+        powers, part, number = Powers(), TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                batch, block = whole.slice(lo, SLICE), part << 24 | number
+                number += 1
+                data, offsets = bytes_of(batch.column(2))
+                found = [anchors(data[offsets[i] : offsets[i + 1]], params, powers) for i in range(len(batch))]
+                doc = np.repeat(np.arange(len(found), dtype=np.uint16), [len(p) for p, _, _ in found])
+                pos, h, around = (np.concatenate(x) for x in zip(*found, strict=True))
+                rk, ids = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+                order = np.lexsort((ids[doc], around, h))
+                h, around, doc, pos = h[order], around[order], doc[order], pos[order].astype(np.uint32)
+                start = pair_runs(h, around)
+                gone = ids[doc] > np.repeat(ids[doc][start], np.diff(np.append(start, len(h))))
+                out = [(block, DOCUMENTS, block, rk.tobytes(), np.diff(offsets).tobytes(), b"", b"", b"")]
+                if gone.any():
+                    out.append((block, COVERED, block, doc[gone].tobytes(), pos[gone].tobytes(), b"", b"", b""))
+                h, around, doc, pos = h[~gone], around[~gone], doc[~gone], pos[~gone]
+                bucket = (h >> U8(64 - shift)).astype(np.int64)
+                ends = [*runs(bucket), len(h)]
+                out += [(int(bucket[i]), ANCHORS, block, planes(np.diff(h[i:j], prepend=U8(0))), around[i:j].tobytes(), planes(ids[doc[i:j]]), doc[i:j].tobytes(), pos[i:j].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
+                yield packed(out, BLOB_ARROW)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            out = [(r[2], r[1], r[2], *r[3:]) for r in rows if r[1] != ANCHORS]
+            out = [r for r in rows if r[1] != ANCHORS]
             rows = [r for r in rows if r[1] == ANCHORS]
             if rows:
-                h, doc, pos = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((3, U8), (4, np.uint32), (5, np.uint32)))
-                block = np.repeat(np.array([r[2] for r in rows], np.int64), [len(r[3]) // 8 for r in rows])
-                order = np.argsort(h, kind="stable")
-                h, doc, pos, block = h[order], doc[order], pos[order], block[order]
+                parts = [np.cumsum(unplaned(r[3])) for r in rows]
+                h, ids = np.concatenate(parts), np.concatenate([unplaned(r[5]) for r in rows]).view(np.int64)
+                around, doc, pos = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((4, U8), (6, np.uint16), (7, np.uint32)))
+                block = np.repeat(np.array([r[2] for r in rows], np.int64), [len(x) for x in parts])
+                order = np.lexsort((ids, around, h))
+                h, around, ids, doc, pos, block = (x[order] for x in (h, around, ids, doc, pos, block))
+                inner = pair_runs(h, around)
+                gone = ids > np.repeat(ids[inner], np.diff(np.append(inner, len(h))))
                 start = runs(h)
                 length = np.diff(np.append(start, len(h)))
-                first, last = np.minimum.reduceat(block, start), np.maximum.reduceat(block, start)
-                hit = (first != last) | np.logical_or.reduceat(doc == MANY, start)
-                often = h[start[hit & (length > params.frequent)]]
+                kinds = np.diff(np.append(np.searchsorted(inner, start), len(inner)))
+                left = np.repeat(kinds > 1, length) & ~gone
+                many = np.add.reduceat(left.astype(np.int64), start)
+                often = h[start[many > params.frequent]]
                 if len(often):
-                    out.append((-1, HITS, -1, often.tobytes(), b"", b""))
-                keep = np.repeat(hit, length) & (doc != MANY)
-                out += [(b, HITS, b, x.tobytes(), d.tobytes(), p.tobytes()) for b, x, d, p in rows_of(block[keep], h[keep], doc[keep], pos[keep])]
+                    out.append((-1, HITS, -1, often.tobytes(), b"", b"", b"", b""))
+                out += [(b, COVERED, b, d.tobytes(), p.tobytes(), b"", b"", b"") for b, d, p in rows_of(block[gone], doc[gone], pos[gone])]
+                out += [(b, HITS, b, x.tobytes(), d.tobytes(), p.tobytes(), b"", b"") for b, x, d, p in rows_of(block[left], h[left], doc[left], pos[left])]
             if out:
                 yield packed(out, BLOB_ARROW)
 
+    schema = pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "positions", "hashes"))])
+
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rk", pa.int64()), ("positions", pa.binary()), ("hashes", pa.binary())])
         for block, rows in by_key(batches):
-            hits = [r for r in rows if r[1] == HITS]
-            h = np.concatenate([np.frombuffer(r[3], U8) for r in hits])
             if block < 0:
-                yield packed([(None, b"", h.tobytes())], schema)
+                yield packed([(None, b"", b"", b"", b"".join(r[3] for r in rows))], schema)
                 continue
-            rk = np.frombuffer(next(r[3] for r in rows if r[1] == DOCUMENTS), np.int64)
-            doc, pos = (np.concatenate([np.frombuffer(r[k], np.uint32) for r in hits]) for k in (4, 5))
-            yield packed([(int(rk[d]), p.tobytes(), x.tobytes()) for d, p, x in rows_of(doc.astype(np.int64), pos, h)], schema)
-
-    n = shuffle_partitions(keyed.sparkSession)
-    sent = keyed.select("rk", "text").mapInArrow(blocks, BLOB)
-    hits = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, BLOB)
-    found = hits.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(documents, "rk long, positions binary, hashes binary")
+            rk, size = (np.frombuffer(x, np.int64) for x in next(r[3:5] for r in rows if r[1] == DOCUMENTS))
+            both = [np.concatenate([np.frombuffer(r[k], t) for r in rows if r[1] == COVERED] or [np.zeros(0, t)]).astype(np.int64) for k, t in ((3, np.uint16), (4, np.uint32))]
+            doc, low, high = merged(both[0], np.maximum(both[1] - (params.width - params.seed), 0), np.minimum(both[1] + params.width, size[both[0]]))
+            h, at, pos = (np.concatenate([np.frombuffer(r[k], t) for r in rows if r[1] == HITS] or [np.zeros(0, t)]) for k, t in ((3, U8), (4, np.uint16), (5, np.uint32)))
+            covers = {d: (x.tobytes(), y.tobytes()) for d, x, y in rows_of(doc, low, high)}
+            hits = {d: (p.tobytes(), x.tobytes()) for d, p, x in rows_of(at.astype(np.int64), pos, h)}
+            yield packed([(int(rk[d]), *covers.get(d, (b"", b"")), *hits.get(d, (b"", b""))) for d in sorted({*covers, *hits})], schema)
+
+    sent = keyed.mapInArrow(blocks, BLOB)
+    back = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, BLOB)
+    found = back.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(documents, "rk long, low binary, high binary, positions binary, hashes binary")
     return materialize(found, "dedup-anchors")
 
 
@@ -271,8 +280,8 @@ COVER = "bucket long, kind int, key binary, strings binary, doc binary, rk binar
 COVER_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("key", "strings", "doc", "rk", "low", "high"))])
 
 
-def covers(keyed: DataFrame, hits: DataFrame, frequent: np.ndarray, buckets: int, params: DedupParams) -> DataFrame:
-    """(rk, low, high): what goes of each document, as sorted intervals in packed arrays."""
+def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: int, params: DedupParams) -> DataFrame:
+    """(rk, low, high): what goes of each document, as sorted intervals in packed arrays; known is what the anchors told."""
     spark = keyed.sparkSession
     width, reach = params.width, params.width - params.seed
     room = -(-(2 * width - params.seed) // 8) * 8
@@ -367,9 +376,16 @@ def covers(keyed: DataFrame, hits: DataFrame, frequent: np.ndarray, buckets: int
             rk, low, high = merged(*(np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (5, 6, 7)))
             yield packed([(k, x.tobytes(), y.tobytes()) for k, x, y in rows_of(rk, low, high)], pa.schema([("rk", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]))
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(rk % buckets, 1, b"", b"", b"", np.full(len(low) // 8, rk, np.int64).tobytes(), low, high) for rk, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield packed(out, COVER_ARROW)
+
     n = shuffle_partitions(spark)
+    hits = known.where(F.octet_length("positions") > 0).select("rk", "positions", "hashes")
     rows = keyed.join(hits, "rk").select("rk", "id", "text", "positions", "hashes").mapInArrow(blocks, COVER)
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(resolved, COVER)
+    rows = rows.unionByName(known.where(F.octet_length("low") > 0).select("rk", "low", "high").mapInArrow(told, COVER))
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(together, "rk long, low binary, high binary")
     return materialize(rows, "dedup-covers")
 
@@ -385,11 +401,12 @@ def covered(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     buckets = 2 * shuffle_partitions(spark)
     keyed = docs.select(row_key().alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_or_empty().alias("text"))
     long_enough = keyed.where(F.octet_length("text") >= params.width)
-    found = repeated_anchors(long_enough, buckets, params)
+    found = repeated_anchors(long_enough, params)
     release(spark)
     often = [np.frombuffer(r["hashes"], U8) for r in found.where("rk is null").select("hashes").collect()]  # fewer than anchors / params.frequent
-    hits = found.where("rk is not null").groupBy("rk").agg(F.first("positions").alias("positions"), F.first("hashes").alias("hashes"))
-    cover = covers(long_enough, hits, np.unique(np.concatenate(often)) if often else np.zeros(0, U8), buckets, params)
+    known = found.where("rk is not null").groupBy("rk").agg(*[F.first(c).alias(c) for c in ("low", "high", "positions", "hashes")])  # rows that repeat
+    known = materialize(known, "dedup-known")
+    cover = covers(long_enough, known, np.unique(np.concatenate(often)) if often else np.zeros(0, U8), buckets, params)
     release(spark)
     return docs.withColumn("_lw_rk", row_key()).join(cover.withColumnRenamed("rk", "_lw_rk"), "_lw_rk", "left").drop("_lw_rk")
 
