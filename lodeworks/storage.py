@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +27,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
+    """Write df as Parquet to the shared folder and read it again: lineage is cut and a lost executor loses nothing.
+
+    Nothing else reads the shuffles of this write, so Spark deletes them as it ends.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, kept = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
