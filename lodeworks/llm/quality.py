@@ -122,7 +122,8 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     out = rows.alias("r").join(f, F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source")), "left")
     q = lambda k: F.col(f"r._q.{k}")
     inside = (q("symbols") <= F.col("f.symbols_hi")) & (q("lines") <= F.col("f.lines_hi")) & (q("length") >= F.col("f.length_lo")) & (q("length") <= F.col("f.length_hi"))
-    return out.select("r.*", (~q("base_failed") & F.coalesce(inside, F.lit(True))).alias("_kept"))
+    # not a conjunction: Spark would push its first part below the join and compute the counts once more
+    return out.select("r.*", F.when(q("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))).alias("_kept"))
 
 
 def score_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
