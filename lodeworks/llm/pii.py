@@ -4,7 +4,8 @@ Base matches of four kinds are seeds. The words around a seed are lexical patter
 it, and the word on either side. Patterns and the identifier-like values seen in them form a bipartite
 graph, scored in rounds: a pattern's score for a kind is the mean score of its values, a value's that of
 its patterns, seeds stay at one. Patterns with enough seed values from enough documents and a high score
-then mark values that no base pattern knows, if their shape can be of the kind.
+then mark values that no base pattern knows, if their shape can be of the kind. Such values are words, and
+whole runs of digits written with blanks; a word in a run counts only if it can be a value by itself.
 
 Positions come from the pieces between matches, so no text leaves the JVM. Offsets are code points.
 
@@ -34,6 +35,8 @@ REGEX = {
 NEEDS = {"email": "@", "phone": "+"}
 #: A value that may identify someone: a word with a digit or an at sign.
 LOOSE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: And a run of digits joined by blanks, brackets, dots and hyphens: phones and cards without the '+', the length or the Luhn test.
+RUN = r"\+?\(?[0-9]++(?:[\x20().-]++[0-9]++)++"
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -122,10 +125,13 @@ def with_spans(docs: DataFrame, params: PiiParams, key: list[Column]) -> DataFra
     out = out.withColumn("base", base_spans(text))
     has = F.regexp(text, F.lit("[0-9@]"))
     out = out.withColumn("loose", F.when(has, matches(text, LOOSE, lambda m: F.length(m) >= 5, place)))
+    out = out.withColumn("runs", F.when(has, matches(text, RUN, lambda m: (F.length(m) >= 5) & F.contains(m, F.lit(" ")), place)))
+    alone = F.filter("loose", lambda x: could_be(x["value"]) | ~F.exists("runs", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"])))
+    out = out.withColumn("loose", F.concat(alone, "runs"))
     seed = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("value"), context(text, b["start"], b["end"], params).alias("patterns")))
     free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     other = F.transform(free, lambda x: F.struct(F.lit(None).cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(text, x["start"], x["end"], params).alias("patterns")))
-    return out.withColumn("seen", F.concat(seed, F.coalesce(other, F.array().cast("array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>")))).drop("text", "loose")
+    return out.withColumn("seen", F.concat(seed, F.coalesce(other, F.array().cast("array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>")))).drop("text", "loose", "runs")
 
 
 def fits(kind: Column, value: Column) -> Column:
@@ -134,6 +140,11 @@ def fits(kind: Column, value: Column) -> Column:
     return F.when(kind == 0, F.contains(value, F.lit("@"))).when(kind == 1, F.regexp(value, F.lit(r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){3,7}$"))).when(kind == 2, n.between(12, 19)).otherwise(n.between(7, 15))
 
 
+def could_be(value: Column) -> Column:
+    """Whether a value fits any kind."""
+    return F.coalesce(*[F.when(fits(F.lit(k), value), True) for k in range(len(KINDS))], F.lit(False))
+
+
 def reliable_patterns(seen: DataFrame, params: PiiParams) -> DataFrame:
     """(pattern, kind, score) of the patterns to trust, from (rid, kind, value, pattern)."""
     seeds = seen.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("v"), F.count_distinct("rid").alias("d"))

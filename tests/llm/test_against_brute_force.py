@@ -58,6 +58,20 @@ def test_contexts_find_what_patterns_miss(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[100] == "so call me at [PHONE] thanks"
 
 
+def test_contexts_find_values_written_with_blanks(spark):
+    cards = [f"4111 1111 1111 1{k:03d}" for k in range(200)]
+    cards = [c for c in cards if luhn(c.replace(" ", ""))][:8]
+    rows = [(i, f"foo bar{i} call me at +1 (988) 555-{1000 + i} thanks") for i in range(8)] + [(20 + i, f"baz my card is {c} okay") for i, c in enumerate(cards)]
+    want = {100: ("so call me at ", "(988) 555-0192", " thanks", "phone"), 101: ("so call me at ", "988 555 0192", " thanks", "phone"), 102: ("ask my card is ", "4111 1111 1111 1112", " okay", "card")}
+    rows += [(i, a + v + b) for i, (a, v, b, _) in want.items()] + [(103, "weight (988) 555-0192 is"), (104, "call me at 5 or 6 thanks")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    assert {i: got[i] for i in want} == {i: f"{kind}:{len(a)}:{len(a + v)}" for i, (a, v, _, kind) in want.items()}
+    assert got[103] == got[104] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert {i: clean[i] for i in want} == {i: f"{a}[{kind.upper()}]{b}" for i, (a, _, b, kind) in want.items()}
+
+
 def test_redaction_keeps_rows(docs, none):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
