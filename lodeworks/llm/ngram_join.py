@@ -221,7 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFram
 
 
 def text_of(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """(node, text) of the nodes (node, rep): the text of the document that stands for the set."""
+    """(node, text) of the nodes (node, rep): the text of the document that stands for the set. Where rep is null, rows without id are found by their sets."""
     ids = nodes.select(F.col("rep").alias("doc_id"), "node", "n")
     if ids.limit(params.broadcast_ids + 1).count() <= params.broadcast_ids:
         ids = F.broadcast(ids)
@@ -234,7 +234,15 @@ def text_of(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
             keep = [t.is_valid and set_key(ngram_set(t.as_buffer().to_pybytes(), params.words, known))[0] == k.as_py() for t, k in zip(batch.column(1).cast(pa.binary()), batch.column(0), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return found.select("node", "text").mapInArrow(own, schema).dropDuplicates(["node"])
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            keys = [set_key(ngram_set(t.as_buffer().to_pybytes(), params.words, known))[0] for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0)], names=["node", "text"])
+
+    nameless = docs.where("doc_id is null and text is not null").select("text").mapInArrow(keyed, schema).dropDuplicates(["node"])
+    nameless = nameless.join(nodes.where("rep is null").select("node"), "node", "left_semi")
+    return found.select("node", "text").mapInArrow(own, schema).unionByName(nameless).dropDuplicates(["node"])
 
 
 def candidates(lists: DataFrame, comps: DataFrame, params: JoinParams) -> DataFrame:
@@ -264,8 +272,8 @@ def candidates(lists: DataFrame, comps: DataFrame, params: JoinParams) -> DataFr
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
-def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def linked(docs: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """sorted_prefixes() of docs, and (k1, k2, n, component, component_id) of their sets that are not empty; component_id is null if no row of the class has an id."""
     spark = docs.sparkSession
     sets = sorted_prefixes(docs, params)
     release(spark)
@@ -302,22 +310,53 @@ def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     found = nodes.select("node", "k2", "n", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = materialize(found, "join-classes")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = found.join(least, "component").select(F.col("node").alias("k1"), "k2", "n", "component_id")
+    named = found.join(least, "component").select(F.col("node").alias("k1"), "k2", "n", "component", "component_id")
     release(spark)
+    return sets, named
+
+
+def labelled(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from linked()."""
+    named = named.drop("component")
     out = sets.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def classes(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return labelled(*linked(docs, params))
+
+
+def texts_to_keep(nameless: DataFrame, named: DataFrame, params: JoinParams) -> DataFrame:
+    """_lw_text of the rows without id (text, _lw_text) to keep: one text of each class that no id names, and every wordless text."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            grams = [ngram_set(t.as_buffer().to_pybytes() if t.is_valid else b"", params.words, known) for t in batch.column(1).cast(pa.binary())]
+            k1, k2 = zip(*map(set_key, grams), strict=True) if grams else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (k1, k2, list(map(len, grams))))], names=["_lw_text", "k1", "k2", "n"])
+
+    sets = nameless.select("_lw_text", "text").mapInArrow(keyed, "_lw_text long, k1 long, k2 long, n long")
+    sets = materialize(sets.groupBy("k1", "k2", "n", F.when(F.col("n") == 0, F.col("_lw_text")).alias("own")).agg(F.min("_lw_text").alias("_lw_text")), "join-nameless")
+    chosen = named.where("component_id is null").groupBy("component").agg(F.min(F.struct("k1", "k2", "n")).alias("s")).select("s.*")
+    return sets.where("n > 0").join(chosen, ["k1", "k2", "n"]).select("_lw_text").unionByName(sets.where("n = 0").select("_lw_text")).distinct()
+
+
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """One row of each class, that of the least doc_id; columns unchanged. Rows that are equal in id and text count once."""
-    out = classes(docs, params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lw_id")).distinct()
+    """One row of each class, that of the least doc_id (null comes last); columns unchanged. Rows that are equal in id and text count once."""
+    sets, named = linked(docs, params)
+    out = labelled(sets, named).where("doc_id = component_id").select(F.col("doc_id").alias("_lw_id")).distinct()
     # an id that repeats with other texts is settled by text: of its rows, each distinct text stays once
     row = docs.withColumn("_lw_text", F.xxhash64("text"))
-    ids = row.groupBy("doc_id").agg(F.count("*").alias("_lw_c")).where("_lw_c > 1").select("doc_id")
-    keep = row.join(out, F.col("doc_id").eqNullSafe(F.col("_lw_id")), "left_semi")
+    ids = row.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_lw_c")).where("_lw_c > 1").select("doc_id")
+    keep = row.join(out, F.col("doc_id") == F.col("_lw_id"), "left_semi")
     if ids.limit(1).count():
         again = F.broadcast(ids) if ids.limit(params.broadcast_ids + 1).count() <= params.broadcast_ids else ids
         keep = keep.join(again, "doc_id", "left_anti").unionByName(keep.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "_lw_text"]))
+    nameless = row.where("doc_id is null")
+    if nameless.limit(1).count():
+        keep = keep.unionByName(nameless.join(texts_to_keep(nameless, named, params), "_lw_text", "left_semi").dropDuplicates(["_lw_text"]).select(*keep.columns))
     return keep.select(*docs.columns)
 
 

@@ -67,6 +67,21 @@ def test_join_by_five_words(docs):
     assert 5 in ids and not {6, 7, 8} & set(ids) and ids.count(5) == 1 and {10, 12, 13} <= set(ids)
 
 
+def test_rows_without_id_are_linked(spark):
+    """Near and exact copies among rows without id, a class that such a row bridges, and one that an id names."""
+    word = lambda c, edits: " ".join(f"{c}edit{j}" if j in edits else f"{c}{j}" for j in range(200))
+    rows = [(None, word("a", ())), (None, word("a", (50,)))] + [(None, word("b", ()))] * 30 + [(1, word("c", ())), (None, word("c", (20, 50, 80))), (2, word("c", (20, 50, 80, 110, 140, 170)))]
+    rows += [(None, word("d", ())), (3, word("d", (90,))), (None, None), (None, None), (None, ""), (4, word("e", ()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    params = ngram_join.JoinParams(words=5, numerator=8, denominator=10)
+    found = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.classes(df, params).where("doc_id is not null").collect())
+    assert found == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    kept = ngram_join.keep_one(df, params).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 3, 4]
+    nameless = [r["text"] for r in kept if r["doc_id"] is None]
+    assert sorted((t or "")[:1] for t in nameless) == ["", "", "a", "b"]
+
+
 def test_mixed_rows(docs):
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
