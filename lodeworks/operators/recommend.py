@@ -54,11 +54,13 @@ def user_profiles(profiles: DataFrame, ratings: DataFrame, key: str, top: int =
     return each.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top).drop("_rank")
 
 
-def content_predictions(pairs: DataFrame, users: DataFrame, businesses: DataFrame, key: str, cut: float = 0.01) -> DataFrame:
+def content_predictions(pairs: DataFrame | None, users: DataFrame, businesses: DataFrame, key: str, cut: float = 0.01) -> DataFrame:
     """(user_id, key, sim): set cosine of the profiles' words, of at least cut; a missing or empty profile gives none."""
     u, b = users.select("user_id", "idx").distinct(), businesses.select(key, "idx").distinct()
     nu, nb = u.groupBy("user_id").agg(F.count("*").alias("nu")), b.groupBy(key).agg(F.count("*").alias("nb"))
-    common = pairs.select("user_id", key).distinct().join(u, "user_id").join(b, [key, "idx"]).groupBy("user_id", key).agg(F.count("*").alias("c"))
+    # without pairs, all that share a word; the others have no row either way
+    shared = u.join(b, "idx") if pairs is None else pairs.select("user_id", key).distinct().join(u, "user_id").join(b, [key, "idx"])
+    common = shared.groupBy("user_id", key).agg(F.count("*").alias("c"))
     sim = F.col("c") / (F.sqrt(F.col("nu").cast("double")) * F.sqrt(F.col("nb").cast("double")))
     return common.join(nu, "user_id").join(nb, key).select("user_id", key, F.round(sim, EXACT).alias("sim")).where(F.col("sim") >= cut)
 

@@ -331,10 +331,8 @@ u AS (SELECT DISTINCT user_id, idx FROM up), b AS (SELECT DISTINCT business_id,
 c AS (SELECT p.user_id, p.business_id, count(*) AS c FROM p JOIN u ON u.user_id = p.user_id JOIN b ON b.business_id = p.business_id AND b.idx = u.idx GROUP BY 1, 2)
 SELECT user_id, business_id, round(c / (sqrt((SELECT count(*) FROM u WHERE u.user_id = c.user_id)::DOUBLE) * sqrt((SELECT count(*) FROM b WHERE b.business_id = c.business_id)::DOUBLE)), 9) AS sim FROM c WHERE sim >= 0.01""")
 def q29(spark, d):
-    texts, prof, users = profiles(spark, d)
-    # every reader with every source: both are few here; pairs to predict are an input of the operator
-    pairs = texts.select("user_id").distinct().join(F.broadcast(texts.select("business_id").distinct().limit(10_000)))
-    return recommend.content_predictions(pairs, users, prof, "business_id")
+    _, prof, users = profiles(spark, d)
+    return recommend.content_predictions(None, users, prof, "business_id")
 
 
 # collaborative filtering ------------------------------------------------------------------------

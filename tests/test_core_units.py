@@ -213,3 +213,15 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert key(got) == key(sketch.windowed_counts(df))
     late = streams.run_available(streams.windowed_distinct(readers.file_stream(spark, str(tmp_path / "in"), df.schema), late="1 second"), "late")
     assert set(late.columns) == {"window_start", "truth", "estimate"}
+
+
+def test_predictions_for_every_source(spark, monkeypatch):
+    from lodeworks.plans import registry
+
+    n = 10_050
+    prof = spark.range(n).selectExpr("id AS business_id", "CAST(id % 2 AS long) AS idx", "1.0D AS score")
+    users = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0)], "user_id long, idx long, score double")
+    texts = spark.range(n).selectExpr("1 + id % 2 AS user_id", "id AS business_id")
+    monkeypatch.setattr(registry, "profiles", lambda spark, d: (texts, prof, users))
+    got = {(r["user_id"], round(r["sim"], 6)): r["count"] for r in registry.queries()["q29_content_predictions"](spark, "").groupBy("user_id", "sim").count().collect()}
+    assert got == {(1, 1.0): n // 2, (2, round(0.5**0.5, 6)): n}
