@@ -449,7 +449,7 @@ def q39(spark, d):
 
 @query("q40_girvan_newman")
 def q40(spark, d):
-    return graph.girvan_newman(edges(spark, d, 8)).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    return graph.girvan_newman(edges(spark, d)).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
 # sketches, samples, streams ---------------------------------------------------------------------

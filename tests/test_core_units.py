@@ -225,3 +225,11 @@ def test_predictions_for_every_source(spark, monkeypatch):
     monkeypatch.setattr(registry, "profiles", lambda spark, d: (texts, prof, users))
     got = {(r["user_id"], round(r["sim"], 6)): r["count"] for r in registry.queries()["q29_content_predictions"](spark, "").groupBy("user_id", "sim").count().collect()}
     assert got == {(1, 1.0): n // 2, (2, round(0.5**0.5, 6)): n}
+
+
+def test_girvan_newman_takes_the_graph_of_seven_shared_parts(spark, monkeypatch):
+    from lodeworks.plans import registry
+
+    rows = spark.createDataFrame([(u, p) for u in (1, 2) for p in range(7)] + [(3, p) for p in range(6)], "user_id long, business_id long")
+    monkeypatch.setattr(registry.inputs, "order_reviews", lambda spark, d: rows)
+    assert [r["members"] for r in registry.queries()["q40_girvan_newman"](spark, "").collect()] == ["1,2"]
