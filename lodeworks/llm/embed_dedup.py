@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release, shuffle_partitions
+from .common import components, materialize, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,6 @@ def link_vectors(vectors: DataFrame, params: EmbedParams = EmbedParams()) -> Dat
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"), "embed-components").withColumnRenamed("node", "id")
     ids = materialize(same.join(links, "id", "left").join(comps, "id", "left"), "embed-result")
-    release(spark)
     ids = ids.select("label", "embedding", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     out = good.join(ids, ["label", "embedding"]).select("vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
     out = out.unionByName(rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

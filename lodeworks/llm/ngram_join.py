@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, release, shuffle_partitions
+from .common import components, materialize, shuffle_partitions
 from .packed import by_key, packed, planes, rows_of, runs, unplaned
 
 
@@ -276,7 +276,6 @@ def linked(docs: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
     """sorted_prefixes() of docs, and (k1, k2, n, component, component_id) of their sets that are not empty; component_id is null if no row of the class has an id."""
     spark = docs.sparkSession
     sets = sorted_prefixes(docs, params)
-    release(spark)
     nodes = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"))
     nodes = materialize(nodes, "join-nodes")
     tokens = nodes.select("node", "n", "alone", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
@@ -298,7 +297,6 @@ def linked(docs: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = materialize(text_of(docs, ends(star).join(nodes.select("node", "rep", "n"), "node"), params), "join-texts")
     edges = materialize(verified(star, texts, params), "join-links")
-    release(spark)
     comps = components(edges, "join-components")
     more = materialize(candidates(lists, comps, params), "join-candidates")
     if more.limit(1).count():
@@ -311,7 +309,6 @@ def linked(docs: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
     found = materialize(found, "join-classes")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "component").select(F.col("node").alias("k1"), "k2", "n", "component", "component_id")
-    release(spark)
     return sets, named
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialize, release
+from .common import broadcast_if_small, materialize
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "byte_bpe_50k"
@@ -184,7 +184,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
         return pd.DataFrame({"sequence_id": run[:, 2] + sequence, "offset": run[:, 4] + slot * run[:, 0]})
 
     out = cutup.join(broadcast_if_small(shifts.drop("_n")), ["_pid", "length"]).withColumn("_place", found("length", F.col("_rank") + F.col("_shift")))
-    release(spark)
     return out.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset", *(["ids"] if with_ids else []))
 
 

@@ -3,10 +3,11 @@
 Rows get global numbers 0..n-1 in the order of doc_id; a keyed permutation of 0..n-1 shuffles them;
 the permuted number p gives shard p % shards and slot p // shards. So the shuffle is reproducible,
 shard sizes differ by one row at most (the law `rows`), slots have no gap, and where row r of n goes
-is computable without the table.
+is computable without the table. Numbering decides, so equal texts are not kept together.
 
 Defined cases: null texts weigh 16 bytes and have the CRC of the empty text; rows that repeat are
-rows; null doc_ids come first; an empty table gives no rows.
+rows; null doc_ids come first; an empty table gives no rows. Where shards are written, columns of docs
+keep their names: if one is called shard or slot, the added column gets underscores in front.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_row_number, materialize, text_or_empty
+from .common import global_row_number, text_or_empty, tidy
 
 SHARDS, SEED, ROUNDS = 40, 20240229, 6
 #: Fixed cost of a row beside its text.
@@ -60,15 +61,16 @@ def place(row: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int
     return p % shards, p // shards
 
 
-def assign_shards(numbered: DataFrame, n: int, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Adds shard and slot to a DataFrame with row numbers _row (0..n-1), which are dropped."""
+def assign_shards(numbered: DataFrame, n: int, shards: int = SHARDS, seed: int = SEED, names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
+    """Adds the shard and the slot to a DataFrame with row numbers _lw_row (0..n-1), which are dropped."""
 
     @F.pandas_udf("long")
     def permuted(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
-    out = numbered.withColumn("_p", permuted("_row"))
-    return out.withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", F.floor(F.col("_p") / F.lit(shards)).cast("long")).drop("_p", "_row")
+    p = F.col("_lw_p")
+    out = numbered.withColumn("_lw_p", permuted("_lw_row"))
+    return out.withColumns({names[0]: (p % shards).cast("int"), names[1]: F.floor(p / F.lit(shards)).cast("long")}).drop("_lw_p", "_lw_row")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -80,16 +82,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores in front as it takes to differ from all others."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Writes docs as Parquet in a folder per shard, each in slot order, and returns the written table."""
     text = text_or_empty()
     keyed = docs.withColumns({"_lw_crc": F.crc32(text.cast("binary")), "_lw_size": F.octet_length(text)})
     numbered, n = global_row_number(keyed, ["doc_id", "_lw_crc", "_lw_size"], "shard-docs")
-    out = assign_shards(numbered, n, shards, seed).drop("_lw_crc", "_lw_size")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot = names = tuple(free_name(c, docs.columns) for c in ("shard", "slot"))
+    out = assign_shards(numbered, n, shards, seed, names).drop("_lw_crc", "_lw_size")
+    out.repartition(shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+@tidy
 def digest(docs: DataFrame) -> DataFrame:
     """What op10 returns."""
     return shard_documents(docs)

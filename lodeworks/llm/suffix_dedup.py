@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions, text_or_empty
+from .common import materialize, shuffle_partitions, text_or_empty
 from .packed import by_key, packed, pair_runs, planes, rows_of, runs, unplaned
 
 U8 = np.uint64
@@ -419,12 +419,10 @@ def covered(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     keyed = docs.select(row_key().alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_or_empty().alias("text"))
     long_enough = keyed.where(F.octet_length("text") >= params.width)
     found = repeated_anchors(long_enough, params)
-    release(spark)
     often = [np.frombuffer(r["hashes"], U8) for r in found.where("rk is null").select("hashes").collect()]  # fewer than anchors / params.frequent
     known = found.where("rk is not null").groupBy("rk").agg(*[F.first(c).alias(c) for c in ("low", "high", "positions", "hashes")])  # rows that repeat
     known = materialize(known, "dedup-known")
     cover = covers(long_enough, known, np.unique(np.concatenate(often)) if often else np.zeros(0, U8), buckets, params)
-    release(spark)
     return docs.withColumn("_lw_rk", row_key()).join(cover.withColumnRenamed("rk", "_lw_rk"), "_lw_rk", "left").drop("_lw_rk")
 
 

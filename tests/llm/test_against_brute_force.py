@@ -261,8 +261,10 @@ def test_shards(docs, none, tmp_path):
         if r["doc_id"] is not None:
             raw = (texts[r["doc_id"]] or "").encode()
             assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
-    back = sharding.write_shards(docs.drop("size"), str(tmp_path / "shards"), 4)
-    assert back.count() == n
+    clash = docs.withColumns({c: docs["found"] for c in ("shard", "_pid", "_row", "_at", "_p", "_shift")})
+    back = sharding.write_shards(clash, str(tmp_path / "shards"), 4)
+    assert set(back.columns) == {*clash.columns, "_shard", "slot"} and back.groupBy("_shard").count().count() == 4
+    assert rows_of(back.select(*clash.columns)) == rows_of(clash)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
