@@ -32,10 +32,10 @@ def top_users(reviews: DataFrame, top_m: int = 5) -> DataFrame:
 
 def word_counts(texts: DataFrame, stop: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): split at single spaces, stop words dropped as they stand, then punctuation deleted and empty words dropped."""
-    raw = texts.select(F.explode(F.split(F.lower(F.col(text)), " ")).alias("raw"))
-    kept = raw.join(broadcast_if_small(stop.select(F.col("word").alias("raw"))), "raw", "left_anti")
+    raw = texts.select(F.explode(F.split(F.lower(F.col(text)), " ")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    kept = raw.join(broadcast_if_small(stop.select(F.col("word").alias("raw"))), "raw", "left_anti")  # distinct words only
     # translate() rather than a regular expression: a set of single characters
-    return kept.select(F.translate("raw", PUNCTUATION, "").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return kept.select(F.translate("raw", PUNCTUATION, "").alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def top_words(texts: DataFrame, stop: DataFrame, top_n: int = 10) -> DataFrame:

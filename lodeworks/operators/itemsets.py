@@ -35,28 +35,48 @@ def candidates(frequent: DataFrame, by: list[str] | None = None) -> DataFrame:
     return good.where(F.col("n") == F.size("items")).select(*by, "items")
 
 
+def packed(long: DataFrame, by: list[str]) -> DataFrame:
+    """(by, has, w): baskets as sorted arrays, equal ones as one row with their number."""
+    arrays = long.groupBy(*by, "basket").agg(F.array_sort(F.collect_set("item")).alias("has"))
+    return arrays.groupBy(*by, "has").agg(F.count("*").alias("w"))
+
+
+def steps(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, prefix, next) of sets of two and more items: how a basket gets from one level of the sets' trie to the next."""
+    return sets.select(*by, F.slice("items", F.lit(1), F.size("items") - 1).alias("prefix"), F.element_at("items", -1).alias("next")).distinct()
+
+
+def occurrences(rows: DataFrame, levels: list[DataFrame], by: list[str]) -> DataFrame:
+    """(by, has, w, prefix): the baskets' paths through the steps of the levels; nothing but counts of them is ever kept."""
+    out = rows.select(*by, "has", "w", F.explode("has").alias("_item")).select(*by, "has", "w", F.array("_item").alias("prefix"))
+    for level in levels:
+        out = out.join(level, [*by, "prefix"]).where(F.array_contains("has", F.col("next")))
+        out = out.select(*by, "has", "w", F.concat("prefix", F.array("next")).alias("prefix"))
+    return out
+
+
 def mine(long: DataFrame, threshold, max_size: int | None = None, by: list[str] | None = None) -> DataFrame:
     """(items, n) with n >= threshold, all sizes up to max_size; within each group of the columns by, if given.
 
-    A level keeps the occurrences of its frequent sets, (basket, items); the next level extends them by
-    a later item of the basket, as far as candidates() allows, and counts. Levels are written tables.
+    Baskets are arrays of their frequent items, equal ones counted once. A level follows the frequent
+    prefixes inside each basket to the candidates of that level and sums map-side: occurrences of sets
+    are neither written nor shuffled while the levels are small enough to be broadcast.
     """
     by = by or []
     counts = long.groupBy(*by, "item").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
-    frequent = materialize(counts.select(*by, F.array("item").alias("items"), "n"), "itemsets")
-    single = long.join(broadcast_if_small(counts.select(*by, "item")), [*by, "item"], "left_semi")
-    single = materialize(single.select(*by, "basket", "item"), "occurrences")
-    occurrences, levels = single.select(*by, "basket", F.array("item").alias("items")), [frequent]
+    levels = [materialize(counts.select(*by, F.array("item").alias("items"), "n"), "itemsets")]
+    frequent = levels[0].select(*by, F.get("items", F.lit(0)).alias("item"))
+    rows = packed(long.join(broadcast_if_small(frequent), [*by, "item"], "left_semi"), by).where(F.size("has") > 1)
+    rows, path = materialize(rows, "baskets"), []
     while max_size is None or len(levels) < max_size:
-        wanted = broadcast_if_small(materialize(candidates(levels[-1].select(*by, "items"), by), "candidates"))
-        longer = occurrences.join(single, [*by, "basket"]).where(F.col("item") > F.element_at("items", -1))
-        longer = longer.select(*by, "basket", F.concat("items", F.array("item")).alias("items")).join(wanted, [*by, "items"], "left_semi")
-        longer = materialize(longer, "occurrences")
-        frequent = materialize(longer.groupBy(*by, "items").agg(F.count("*").alias("n")).where(F.col("n") >= threshold), "itemsets")
-        if not frequent.limit(1).count():
+        wanted = materialize(candidates(levels[-1].select(*by, "items"), by), "candidates")
+        here = occurrences(rows, [*path, broadcast_if_small(steps(wanted, by))], by)
+        found = here.groupBy(*by, F.col("prefix").alias("items")).agg(F.sum("w").alias("n")).where(F.col("n") >= threshold)
+        found = materialize(found, "itemsets")
+        if not found.limit(1).count():
             break
-        levels.append(frequent)
-        occurrences = longer.join(broadcast_if_small(frequent.select(*by, "items")), [*by, "items"], "left_semi")
+        levels.append(found)
+        path.append(broadcast_if_small(steps(found, by)))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -70,11 +90,21 @@ def local_candidates(long: DataFrame, threshold: float, parts: int, max_size: in
 
 
 def support(long: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(items, n): baskets that contain each wanted set; by division: a basket counts if it holds as many items as the set has."""
-    each = wanted.select("items", F.explode("items").alias("item"))
-    hits = long.join(broadcast_if_small(each), "item").groupBy("items", "basket").agg(F.count("*").alias("c")).where(F.col("c") == F.size("items"))
-    counts = hits.groupBy("items").agg(F.count("*").alias("n"))
-    return wanted.join(counts, "items", "left").select("items", F.coalesce("n", F.lit(0)).alias("n"))
+    """(items, n): baskets that contain each wanted set, counted along the trie of the wanted sets inside each basket."""
+    sets = wanted.select(F.array_sort(F.array_distinct("items")).alias("items"), F.col("items").alias("_as")).distinct()
+    needed = broadcast_if_small(sets.select(F.explode("items").alias("item")).distinct())
+    rows = materialize(packed(long.join(needed, "item", "left_semi"), []), "baskets")
+    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    hits, path = None, []
+    for k in range(1, longest + 1):
+        if k > 1:
+            path.append(broadcast_if_small(steps(sets.where(F.size("items") >= k).select(F.slice("items", F.lit(1), F.lit(k)).alias("items")), [])))
+        here = broadcast_if_small(sets.where(F.size("items") == k).select(F.col("items").alias("prefix"), "_as"))
+        level = occurrences(rows, path, []).join(here, "prefix").groupBy("_as").agg(F.sum("w").alias("n"))
+        hits = level if hits is None else hits.unionByName(level)
+    if hits is None:
+        return wanted.select("items", F.lit(0).cast("long").alias("n"))
+    return wanted.join(hits.withColumnRenamed("_as", "items"), "items", "left").select("items", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def two_phase(long: DataFrame, threshold: int, parts: int, max_size: int | None = None) -> DataFrame:

@@ -12,16 +12,21 @@ from . import similarity
 EXACT = 9
 
 
-def tokens(texts: DataFrame, key: str, stop: DataFrame | None = None) -> DataFrame:
-    """(key, word): lower case, anything but letters, digits and _ to spaces, digits dropped, stop words dropped; repeats kept."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", " "), r"\p{Nd}", "")
-    words = texts.select(key, F.explode(F.split(clean, r"\s+")).alias("word")).where("word <> ''")
-    return words if stop is None else words.join(broadcast_if_small(stop.select("word")), "word", "left_anti").select(key, "word")
+def token_counts(texts: DataFrame, key: str, stop: DataFrame | None = None) -> DataFrame:
+    """(key, word, n): lower case, anything but letters, digits and _ to spaces, digits dropped, stop words dropped.
 
+    Words are counted as they stand, combined map-side; digits and stop words are dropped from the
+    distinct words of a key only.
+    """
+    raw = texts.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("raw")).groupBy(key, "raw").agg(F.count("*").alias("n"))
+    words = raw.select(key, F.regexp_replace("raw", r"\p{Nd}", "").alias("word"), "n").where("word <> ''")
+    if stop is not None:
+        words = words.join(broadcast_if_small(stop.select("word")), "word", "left_anti")
+    return words.groupBy(key, "word").agg(F.sum("n").alias("n"))
 
-def term_frequency(words: DataFrame, key: str) -> DataFrame:
-    """(key, word, tf): count over the largest count of the key."""
-    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"))
+
+def term_frequency(counts: DataFrame, key: str) -> DataFrame:
+    """(key, word, tf) of (key, word, n): count over the largest count of the key."""
     most = counts.groupBy(key).agg(F.max("n").alias("most"))  # an aggregate, not a window: a long document is no single task
     return counts.join(broadcast_if_small(most), key).select(key, "word", (F.col("n") / F.col("most")).alias("tf"))
 
@@ -31,9 +36,9 @@ def inverse_frequency(tf: DataFrame, key: str, documents: int) -> DataFrame:
     return tf.groupBy("word").agg(F.count("*").alias("df")).select("word", F.log2(F.lit(float(documents)) / F.col("df")).alias("idf"))
 
 
-def tf_idf(words: DataFrame, key: str, documents: int, top: int | None = 200) -> DataFrame:
-    """(key, word, score), the best of each key, ties by word."""
-    tf = term_frequency(words, key)
+def tf_idf(counts: DataFrame, key: str, documents: int, top: int | None = 200) -> DataFrame:
+    """(key, word, score) of (key, word, n), the best of each key, ties by word."""
+    tf = term_frequency(counts, key)
     scored = tf.join(inverse_frequency(tf, key, documents), "word").select(key, "word", F.round(F.col("tf") * F.col("idf"), EXACT).alias("score"))
     if top is None:
         return scored

@@ -17,7 +17,7 @@ MULTIPLIERS = [
 def dense_index(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """(column, idx) of the distinct values in their order, from 0, and how many there are; numbered by ranges, not in one task."""
     numbered, n = global_row_number(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "dense-index")
-    return numbered.withColumnRenamed("_row", "idx"), n
+    return numbered.withColumnRenamed("_lw_row", "idx"), n
 
 
 def signatures(members: DataFrame, rows: int, multipliers: list[int] = MULTIPLIERS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster, explore, graph, itemsets, recommend, sampling, similarity, sketch
 from ..sources import readers, writers
-from ..storage import materialize, new_path, read_table
+from ..storage import materialize, new_path, read_table, tidy
 from ..streaming import queries as streams
 from . import inputs
 from .inputs import BAS, BUS, EV, ORV, STOP, TXT
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = tidy(f)
         if sql is not None:
             SQL[name] = sql
         return f
@@ -150,13 +150,13 @@ def levels(frequent: str, by: str = "", sizes: int = 4) -> str:
 
 FREQUENT = f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas) {levels('(SELECT t FROM thr)')}"
 PARTS = 4
-LOCAL = f"WITH {BAS}, b0 AS (SELECT basket, item, basket % {PARTS} AS part FROM bas), l AS ({levels(f'(SELECT t FROM thr) / {PARTS}.0', 'part', 3)}) SELECT DISTINCT items FROM l"
+LOCAL = f"WITH {BAS}, b0 AS (SELECT basket, item, basket % {PARTS} AS part FROM bas), l AS ({levels(f'(SELECT t FROM thr) / {PARTS}.0', 'part')}) SELECT DISTINCT items FROM l"
 
 
 @query("q10_local_candidates", LOCAL)
 def q10(spark, d):
     long = baskets(spark, d)
-    return joined(itemsets.local_candidates(long, float(threshold(long)), PARTS, 3))
+    return joined(itemsets.local_candidates(long, float(threshold(long)), PARTS))
 
 
 @query(
@@ -176,10 +176,10 @@ def q12(spark, d):
     return joined(itemsets.mine(long, threshold(long)))
 
 
-@query("q12b_two_phase_itemsets", f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas) {levels('(SELECT t FROM thr)', sizes=2)}")
+@query("q12b_two_phase_itemsets", f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas) {levels('(SELECT t FROM thr)')}")
 def q12b(spark, d):
     long = baskets(spark, d)
-    return joined(itemsets.two_phase(long, threshold(long), PARTS, 2))
+    return joined(itemsets.two_phase(long, threshold(long), PARTS))
 
 
 @query("q13_support", f"WITH {BAS} SELECT x.item || ',' || y.item AS items, count(*) AS n FROM bas x JOIN bas y ON x.basket = y.basket AND x.item < y.item WHERE x.item = 'Brand#1' GROUP BY 1")
@@ -200,7 +200,7 @@ def q14(spark, d):
 def q15(spark, d):
     long = materialize(baskets(spark, d), "baskets")
     t = threshold(long)
-    return itemsets.agreement(itemsets.mine(long, t), itemsets.fp_growth(long, t))
+    return itemsets.agreement(materialize(itemsets.two_phase(long, t, PARTS), "two-phase"), itemsets.fp_growth(long, t))
 
 
 # similarity -------------------------------------------------------------------------------------
@@ -244,10 +244,10 @@ def q19(spark, d):
     return similarity.candidate_pairs(similarity.bands(similarity.signatures(m, n)))
 
 
-@query("q20_lsh_pairs", f"WITH {MEMBERS}, {SIG}, {CANDIDATES}, {PAIRS} SELECT a, b, round(sim, 9) AS sim FROM cand JOIN jac USING (a, b) WHERE sim >= 0.4")
+@query("q20_lsh_pairs", f"WITH {MEMBERS}, {SIG}, {CANDIDATES}, {PAIRS} SELECT a, b, round(sim, 9) AS sim FROM cand JOIN jac USING (a, b) WHERE sim >= 0.05")
 def q20(spark, d):
     m, n = members(spark, d)
-    found = similarity.verified(similarity.candidate_pairs(similarity.bands(similarity.signatures(m, n))), m, 0.4)
+    found = similarity.verified(similarity.candidate_pairs(similarity.bands(similarity.signatures(m, n))), m, 0.05)
     return found.select("a", "b", F.round("sim", 9).alias("sim"))
 
 
@@ -257,12 +257,12 @@ def q21(spark, d):
     return similarity.jaccard_pairs(m, 0.05).select("a", "b", F.round("sim", 9).alias("sim"))
 
 
-@query("q22_precision_recall", f"""WITH {MEMBERS}, {SIG}, {CANDIDATES}, {PAIRS}, f AS (SELECT a, b FROM cand JOIN jac USING (a, b) WHERE sim >= 0.4), t AS (SELECT a, b FROM jac WHERE sim >= 0.4)
+@query("q22_precision_recall", f"""WITH {MEMBERS}, {SIG}, {CANDIDATES}, {PAIRS}, f AS (SELECT a, b FROM cand JOIN jac USING (a, b) WHERE sim >= 0.05), t AS (SELECT a, b FROM jac WHERE sim >= 0.05)
 SELECT round((SELECT count(*) FROM f JOIN t USING (a, b)) / nullif((SELECT count(*) FROM f), 0), 9) AS precision, round((SELECT count(*) FROM f JOIN t USING (a, b)) / nullif((SELECT count(*) FROM t), 0), 9) AS recall""")
 def q22(spark, d):
     m, n = members(spark, d)
-    found = similarity.verified(similarity.candidate_pairs(similarity.bands(similarity.signatures(m, n))), m, 0.4)
-    pr = similarity.precision_recall(found, similarity.jaccard_pairs(m, 0.4))
+    found = similarity.verified(similarity.candidate_pairs(similarity.bands(similarity.signatures(m, n))), m, 0.05)
+    pr = similarity.precision_recall(found, similarity.jaccard_pairs(m, 0.05))
     return pr.select(F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
@@ -281,19 +281,18 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, idx) <= 500
 def content(spark, d):
     texts = inputs.source_texts(spark, d)
     n = texts.select("business_id").distinct().count()
-    return texts, materialize(recommend.tokens(texts, "business_id", inputs.stop_words(spark)), "tokens"), n
+    return texts, materialize(recommend.token_counts(texts, "business_id", inputs.stop_words(spark)), "tokens"), n
 
 
 @query("q23_tokens", f"WITH {TOKENS} SELECT business_id, count(*) AS n, count(DISTINCT word) AS words FROM tok GROUP BY 1")
 def q23(spark, d):
-    words = recommend.tokens(inputs.source_texts(spark, d), "business_id", inputs.stop_words(spark))
-    # counts by word first, so that distinct words cost no second expansion
-    return words.groupBy("business_id", "word").agg(F.count("*").alias("c")).groupBy("business_id").agg(F.sum("c").alias("n"), F.count("*").alias("words"))
+    words = recommend.token_counts(inputs.source_texts(spark, d), "business_id", inputs.stop_words(spark))
+    return words.groupBy("business_id").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
 
 
 @query("q24_term_frequency", f"WITH {TOKENS}, {TF} SELECT business_id, word, round(tf, 9) AS tf FROM tf")
 def q24(spark, d):
-    return recommend.term_frequency(recommend.tokens(inputs.source_texts(spark, d), "business_id", inputs.stop_words(spark)), "business_id").select("business_id", "word", F.round("tf", 9).alias("tf"))
+    return recommend.term_frequency(recommend.token_counts(inputs.source_texts(spark, d), "business_id", inputs.stop_words(spark)), "business_id").select("business_id", "word", F.round("tf", 9).alias("tf"))
 
 
 @query("q25_inverse_frequency", f"WITH {TOKENS}, {TF}, {IDF} SELECT word, round(idf, 9) AS idf FROM idf")
@@ -365,14 +364,13 @@ def q30(spark, d):
 USER_HASHES = [((1009 * (k + 1) * (k + 7)) % 10343 or 1, (811 * k * k + 17) % 10343) for k in range(50)]
 LSH = f"""bi AS (SELECT business_id, dense_rank() OVER (ORDER BY business_id) - 1 AS idx FROM (SELECT DISTINCT business_id FROM r)),
 mu AS (SELECT user_id, idx FROM r JOIN bi USING (business_id) WHERE user_id IN (SELECT user_id FROM r GROUP BY 1 HAVING count(*) >= 3)),
-sg AS (SELECT user_id, h.k // 2 AS band, h.k % 2 AS half, min(((h.a * idx + h.b) % 10343) % 10253) AS v FROM mu, (SELECT unnest(range({len(USER_HASHES)})) AS k, unnest({[a for a, _ in USER_HASHES]}) AS a, unnest({[b for _, b in USER_HASHES]}) AS b) h GROUP BY ALL),
-bd AS (SELECT user_id, band, max(v) FILTER (half = 0) AS v0, max(v) FILTER (half = 1) AS v1 FROM sg GROUP BY 1, 2),
-cp AS (SELECT DISTINCT x.user_id AS a, y.user_id AS b FROM bd x JOIN bd y ON x.band = y.band AND x.v0 = y.v0 AND x.v1 = y.v1 AND x.user_id < y.user_id)"""
+bd AS (SELECT user_id, h.k AS band, min(((h.a * idx + h.b) % 10343) % 10253) AS v FROM mu, (SELECT unnest(range({len(USER_HASHES)})) AS k, unnest({[a for a, _ in USER_HASHES]}) AS a, unnest({[b for _, b in USER_HASHES]}) AS b) h GROUP BY ALL),
+cp AS (SELECT DISTINCT x.user_id AS a, y.user_id AS b FROM bd x JOIN bd y ON x.band = y.band AND x.v = y.v AND x.user_id < y.user_id)"""
 
 
 @query("q31_user_model", f"WITH {TRAIN}, {LSH}, {corr('user_id', 'business_id', 'JOIN cp ON cp.a = x.user_id AND cp.b = y.user_id')} SELECT a AS u1, b AS u2, sim FROM model WHERE sim > 0")
 def q31(spark, d):
-    return recommend.user_model(split(spark, d)[0], USER_HASHES, band_rows=2)
+    return recommend.user_model(split(spark, d)[0], USER_HASHES)
 
 
 @query("q32_predict_by_items", f"""WITH {TRAIN}, {corr('business_id', 'user_id')}, mm AS (SELECT a AS x, b AS y, sim FROM model UNION ALL SELECT b, a, sim FROM model),
@@ -393,7 +391,7 @@ p AS (SELECT user_id, business_id, sum(s * sim) / sum(abs(sim)) AS v FROM nb GRO
 SELECT user_id, business_id, round(coalesce(v, a, 0), 6) AS stars FROM test LEFT JOIN p USING (user_id, business_id) LEFT JOIN av USING (business_id)""")
 def q32b(spark, d):
     ratings, average, test = split(spark, d)
-    return recommend.predict_by_users(test, ratings, materialize(recommend.user_model(ratings, USER_HASHES, band_rows=2), "model"), average)
+    return recommend.predict_by_users(test, ratings, materialize(recommend.user_model(ratings, USER_HASHES), "model"), average)
 
 
 @query("q33_business_average", f"WITH {EV} SELECT business_id, round(avg(stars), 9) AS stars FROM ev GROUP BY 1")
@@ -429,7 +427,15 @@ def q36(spark, d):
     return graph.listed(graph.label_propagation(edges(spark, d), 5)).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@query("q37_betweenness")
+#: Shortest paths of all pairs: distances by walks without repeats of (root, node, length), path counts level by level, then each arc's share of every pair's paths.
+BETWEENNESS = """wk AS (SELECT DISTINCT s AS r, s AS v, 0 AS d FROM arc UNION SELECT wk.r, arc.t, wk.d + 1 FROM wk JOIN arc ON wk.v = arc.s WHERE wk.d < (SELECT count(DISTINCT s) FROM arc)),
+ds AS (SELECT r, v, min(d) AS d FROM wk GROUP BY r, v),
+sp AS (SELECT r, v, d, 1e0 AS p FROM ds WHERE d = 0 UNION ALL SELECT sp.r, arc.t, sp.d + 1, sum(sp.p) FROM sp JOIN arc ON sp.v = arc.s JOIN ds ON ds.r = sp.r AND ds.v = arc.t AND ds.d = sp.d + 1 GROUP BY sp.r, arc.t, sp.d + 1),
+bw AS (SELECT least(arc.s, arc.t) AS u, greatest(arc.s, arc.t) AS v, round(sum(a.p * b.p / c.p) / 2, 9) AS betweenness
+  FROM arc JOIN sp a ON a.v = arc.s JOIN sp b ON b.r = arc.t JOIN sp c ON c.r = a.r AND c.v = b.v AND c.d = a.d + 1 + b.d GROUP BY 1, 2)"""
+
+
+@query("q37_betweenness", f"WITH RECURSIVE {EDGES}, {BETWEENNESS} SELECT u, v, betweenness FROM bw")
 def q37(spark, d):
     return graph.betweenness(edges(spark, d))
 
@@ -536,8 +542,9 @@ def q62(spark, d):
 
 # clustering -------------------------------------------------------------------------------------
 
-ASSIGNED = """p AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS v FROM embeddings),
-c AS (SELECT row_number() OVER (ORDER BY md5('666:' || point_id::VARCHAR), point_id) - 1 AS k, v FROM p QUALIFY k < 10),
+START = """p AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT row_number() OVER (ORDER BY md5('666:' || point_id::VARCHAR), point_id) - 1 AS k, v FROM p QUALIFY k < 10)"""
+ASSIGNED = f"""{START},
 asg AS (SELECT p.point_id, p.v, c.k FROM p, c QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY list_distance(p.v, c.v), c.k) = 1)"""
 
 
@@ -547,7 +554,18 @@ def q46(spark, d):
     return cluster.assign(points, cluster.first_centres(points, 10)).select("point_id", "cluster")
 
 
-@query("q46b_kmeans")
+def lloyd(rounds: int) -> str:
+    """SQL of so many rounds over p from the centres c: the last assignment, asg."""
+    out = ["c0 AS (SELECT k, v FROM c)"]
+    near = "SELECT p.point_id, p.v, c{i}.k FROM p, c{i} QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY list_distance(p.v, c{i}.v), c{i}.k) = 1"
+    for i in range(rounds):
+        out.append(f"a{i} AS ({near.format(i=i)})")
+        out.append(f"m{i} AS (SELECT k, list(m ORDER BY d) AS v FROM (SELECT k, d, avg(x) AS m FROM (SELECT k, unnest(v) AS x, unnest(range(len(v))) AS d FROM a{i}) GROUP BY k, d) GROUP BY k)")
+        out.append(f"c{i + 1} AS (SELECT c{i}.k, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON c{i}.k = m{i}.k)")
+    return ", ".join([*out, f"asg AS ({near.format(i=rounds)})"])
+
+
+@query("q46b_kmeans", f"WITH {START}, {lloyd(5)} SELECT point_id, lpad(k::VARCHAR, 4, '0') AS cluster FROM asg")
 def q46b(spark, d):
     return cluster.kmeans(inputs.points(spark, d), 10, 5)[0].select("point_id", "cluster")
 
