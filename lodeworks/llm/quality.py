@@ -1,11 +1,12 @@
 """Quality rules with adaptive thresholds [DataFrame operations only].
 
-Each document has four ratios in thousandths. Their distributions are held in mergeable quantile
-sketches, histograms whose buckets grow with the value (16 to each power of two, so a quantile is off
-by a sixteenth at most): counts add up in any order, map-side first, and the sketch of a language is the sum of
-those of its sources. A document is rejected if a ratio lies beyond the fences of its language and
-source, three interquartile ranges and a least margin outside the quartiles. Small groups use their
-language's sketch, small languages that of all documents.
+Each document has three ratios in thousandths: symbols to word characters, repeated to all lines, word
+characters to words. Their distributions are held in mergeable quantile sketches, histograms whose buckets
+grow with the value (16 to each power of two): counts add up in any order, map-side first, and the sketch
+of a language is the sum of those of its sources. The fences of a language and source are quantiles in the
+tails of its own sketch, shrunk to its language's and those to the whole corpus's by so many documents'
+worth: a large source is judged by itself, a small one mostly by its language. A document is rejected if a
+ratio's bucket lies beyond its fence, so a tail never loses more than its share of a large group.
 
 Defined cases: a null text has no words and fails the base rule; null language or source are groups of
 their own; repeated rows count and are judged each; an empty table gives no rows.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, let, materialize, text_or_empty
+from .common import WORD, broadcast_if_small, let, materialize, text_or_empty, tidy
 
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
@@ -29,15 +30,18 @@ class QualityParams:
     min_words: int = 20
     #: Per cent of words in repeated windows that fail a document outright.
     max_repeat_percent: int = 30
-    #: Groups with fewer documents use the sketch above theirs.
-    least_group: int = 200
-    #: Interquartile ranges outside the quartiles.
-    reach: int = 3
-    #: Least margins in thousandths: symbols to word characters, repeated to all lines, word characters to words above and below.
-    symbol_margin: int = 50
-    line_margin: int = 350
-    long_margin: int = 6000
-    short_margin: int = 2000
+    #: Documents by whose worth the fences of a group are shrunk to those of the level above it.
+    prior: int = 100
+    #: The quantiles, in per cent, that are the upper fences of symbols, repeated lines and word lengths, and the lower one of the latter.
+    symbols_tail: int = 95
+    lines_tail: int = 97
+    long_tail: int = 98
+    short_tail: int = 2
+
+
+#: Fences: name, number of the ratio in a sketch, whether it bounds from above.
+FENCES = (("symbols_hi", 0, True), ("lines_hi", 1, True), ("length_hi", 2, True), ("length_lo", 2, False))
+RATIOS = ("symbols", "lines", "length")
 
 
 def repeated_words(words: Column, n: Column) -> Column:
@@ -81,49 +85,40 @@ def bucket(v: Column) -> Column:
 
 
 def fences(stats: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """(lang, source, symbols_hi, lines_hi, length_lo, length_hi) of every language and source in stats (lang, source, _q)."""
-    names = ("symbols", "lines", "length")
-    values = stats.where("not _q.base_failed").select("lang", "source", F.posexplode(F.array(*[bucket(F.col(f"_q.{k}")) for k in names])).alias("m", "b"))
+    """(lang, source, symbols_hi, lines_hi, length_hi, length_lo) of every language and source in stats (lang, source, _q)."""
+    values = stats.where("not _q.base_failed").select("lang", "source", F.posexplode(F.array(*[bucket(F.col(f"_q.{k}")) for k in RATIOS])).alias("m", "b"))
     small = materialize(values.groupBy("lang", "source", "m", "b").agg(F.count("*").alias("c")), "quality-sketches")
-    levels = [
-        small.select(F.lit(0).alias("level"), "lang", "source", "m", "b", "c"),
-        small.groupBy("lang", "m", "b").agg(F.sum("c").alias("c")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "m", "b", "c"),
-        small.groupBy("m", "b").agg(F.sum("c").alias("c")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "m", "b", "c"),
-    ]
-    sketches = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    group = ["level", "lang", "source", "m"]
-    w = Window.partitionBy(*group)
-    upto = F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    s = sketches.withColumns({"_upto": upto, "_all": F.sum("c").over(w)})
-    quartile = lambda k: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * k, F.col("b")))
-    q = s.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("_all").alias("n"))
-    reach = (F.col("q3") - F.col("q1")) * params.reach
-    pick = lambda m, c: F.max(F.when(F.col("m") == m, c))
-    q = q.groupBy("level", "lang", "source").agg(
-        F.max("n").alias("n"),
-        pick(0, F.col("q3") + reach + params.symbol_margin).alias("symbols_hi"),
-        pick(1, F.col("q3") + reach + params.line_margin).alias("lines_hi"),
-        pick(2, F.col("q1") - reach - params.short_margin).alias("length_lo"),
-        pick(2, F.col("q3") + reach + params.long_margin).alias("length_hi"),
-    )
-    own, langs, top = (q.where(F.col("level") == k).select(*(["lang", "source"][: 2 - k]), F.col("n").alias(f"n{k}"), F.struct("symbols_hi", "lines_hi", "length_lo", "length_hi").alias(f"f{k}")) for k in range(3))
-    all_f = top.select("f2").first()
-    whole = [F.lit(x).cast("long") for x in (all_f[0] if all_f else (None,) * 4)]
-    f2 = F.struct(*[x.alias(k) for x, k in zip(whole, ("symbols_hi", "lines_hi", "length_lo", "length_hi"), strict=True)])
-    langs = langs.withColumnRenamed("lang", "_lang")
-    out = own.join(broadcast_if_small(langs), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    chosen = F.when(F.col("n0") >= params.least_group, F.col("f0")).when(F.col("n1") >= params.least_group, F.col("f1")).otherwise(f2)
-    return out.select("lang", "source", chosen.alias("_f")).select("lang", "source", "_f.*")
+    tails = dict(zip([name for name, _, _ in FENCES], (params.symbols_tail, params.lines_tail, params.long_tail, params.short_tail), strict=True))
+
+    def quantiles(group: list[str], mark: str) -> DataFrame:
+        """The group's columns, its documents and the quantiles of its sketches, names behind the mark."""
+        w = Window.partitionBy(*group, "m")
+        s = small.groupBy(*group, "m", "b").agg(F.sum("c").alias("c"))
+        s = s.withColumns({"_upto": F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("c").over(w)})
+        at = lambda m, k: F.min(F.when((F.col("m") == m) & (F.col("_upto") * 100 >= F.col("_all") * k), F.col("b")))
+        return s.groupBy(*group).agg(F.max("_all").alias(f"{mark}n"), *[at(m, tails[name]).alias(f"{mark}{name}") for name, m, _ in FENCES])
+
+    def shrunk(own: str, above: str) -> Column:
+        n = own[0] + "n"
+        return F.expr(f"({n} * {own} + {params.prior} * {above}) div ({n} + {params.prior})")
+
+    whole = quantiles([], "a")
+    langs = quantiles(["lang"], "l").join(F.broadcast(whole))  # one row
+    langs = materialize(langs.select(F.col("lang").alias("_lang"), *[shrunk(f"l{name}", f"a{name}").alias(f"l{name}") for name in tails]), "quality-languages")
+    own = quantiles(["lang", "source"], "o").join(broadcast_if_small(langs), F.col("lang").eqNullSafe(F.col("_lang")))
+    return own.select("lang", "source", *[shrunk(f"o{name}", f"l{name}").alias(name) for name in tails])
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows (lang, source, _q) with boolean _kept."""
     f = broadcast_if_small(materialize(limits, "quality-fences")).alias("f")
     out = rows.alias("r").join(f, F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source")), "left")
-    q = lambda k: F.col(f"r._q.{k}")
-    inside = (q("symbols") <= F.col("f.symbols_hi")) & (q("lines") <= F.col("f.lines_hi")) & (q("length") >= F.col("f.length_lo")) & (q("length") <= F.col("f.length_hi"))
+    inside = F.lit(True)
+    for name, m, upper in FENCES:
+        value, fence = bucket(F.col(f"r._q.{RATIOS[m]}")), F.col(f"f.{name}")
+        inside = inside & (value <= fence if upper else value >= fence)
     # not a conjunction: Spark would push its first part below the join and compute the counts once more
-    return out.select("r.*", F.when(q("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))).alias("_kept"))
+    return out.select("r.*", F.when(F.col("r._q.base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))).alias("_kept"))
 
 
 def score_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -133,6 +128,7 @@ def score_documents(docs: DataFrame, params: QualityParams = QualityParams()) ->
     return out.select("doc_id", *[f"_q.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("_kept").alias("kept"))
 
 
+@tidy
 def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged: a first pass for the sketches, a second that filters."""
     stats = materialize(with_stats(docs.select("lang", "source", "text"), params).drop("text"), "quality-stats")
@@ -140,6 +136,7 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataF
     return judged(rows.drop("text"), fences(stats, params)).where("_kept").select("_row.*")
 
 
+@tidy
 def digest(docs: DataFrame) -> DataFrame:
     """What op1 returns."""
     return score_documents(docs)
@@ -147,6 +144,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def oracle(params: QualityParams = QualityParams()) -> str:
     b = lambda v: f"(({v}) >> greatest(length(bin({v})) - 5, 0)) << greatest(length(bin({v})) - 5, 0)"
+    tails = (params.symbols_tail, params.lines_tail, params.long_tail, params.short_tail)
+    names = [name for name, _, _ in FENCES]
+
+    def level(mark: str, group: str) -> str:
+        """SQL of the sketches' quantiles by group, as table <mark>q."""
+        lead, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+        at = ", ".join(f"min(b) FILTER (m = {m} AND 100 * upto >= {k} * total) AS {mark}{name}" for (name, m, _), k in zip(FENCES, tails, strict=True))
+        counted = f"SELECT {lead}m, b, count(*) AS c FROM k GROUP BY {lead}m, b"
+        summed = f"SELECT *, sum(c) OVER (PARTITION BY {lead}m ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {lead}m) AS total FROM ({counted})"
+        return f"{mark}q AS (SELECT {lead}max(total) AS {mark}n, {at} FROM ({summed}) {by})"
+
+    def shrunk(own: str, above: str, n: str, name: str) -> str:
+        return f"({n} * {own}{name} + {params.prior} * {above}{name}) // ({n} + {params.prior})"
+
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
@@ -158,20 +169,13 @@ r AS (SELECT rid, sum(cov)::BIGINT AS rep FROM p GROUP BY rid),
 s AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              len(ls)::BIGINT AS n_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
-q AS (SELECT *, n_words < {params.min_words} OR 100 * n_repeat_words > {params.max_repeat_percent} * n_words AS base_failed,
+q AS MATERIALIZED (SELECT *, n_words < {params.min_words} OR 100 * n_repeat_words > {params.max_repeat_percent} * n_words AS base_failed,
              (1000 * n_symbols) // greatest(word_chars, 1) AS v0, (1000 * n_dup_lines) // greatest(n_lines, 1) AS v1, (1000 * word_chars) // greatest(n_words, 1) AS v2 FROM s),
-v AS (SELECT lang, source, 0 AS m, {b("v0")} AS b FROM q WHERE NOT base_failed UNION ALL SELECT lang, source, 1, {b("v1")} FROM q WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 2, {b("v2")} FROM q WHERE NOT base_failed),
-k AS (SELECT 0 AS level, lang, source, m, b, count(*) AS c FROM v GROUP BY ALL UNION ALL SELECT 1, lang, NULL, m, b, count(*) FROM v GROUP BY ALL
-      UNION ALL SELECT 2, NULL, NULL, m, b, count(*) FROM v GROUP BY ALL),
-u AS (SELECT *, sum(c) OVER (PARTITION BY level, lang, source, m ORDER BY b) AS upto, sum(c) OVER (PARTITION BY level, lang, source, m) AS total FROM k),
-t AS (SELECT level, lang, source, m, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n FROM u GROUP BY ALL),
-f AS (SELECT level, lang, source, max(n) AS n, max(q3 + {params.reach} * (q3 - q1) + {params.symbol_margin}) FILTER (m = 0) AS a,
-             max(q3 + {params.reach} * (q3 - q1) + {params.line_margin}) FILTER (m = 1) AS bb, max(q1 - {params.reach} * (q3 - q1) - {params.short_margin}) FILTER (m = 2) AS lo,
-             max(q3 + {params.reach} * (q3 - q1) + {params.long_margin}) FILTER (m = 2) AS hi FROM t GROUP BY ALL),
-x AS (SELECT o.lang, o.source, CASE WHEN o.n >= {params.least_group} THEN struct_pack(a := o.a, b := o.bb, lo := o.lo, hi := o.hi)
-             WHEN l.n >= {params.least_group} THEN struct_pack(a := l.a, b := l.bb, lo := l.lo, hi := l.hi) ELSE struct_pack(a := z.a, b := z.bb, lo := z.lo, hi := z.hi) END AS f
-      FROM (SELECT * FROM f WHERE level = 0) o LEFT JOIN (SELECT * FROM f WHERE level = 1) l ON o.lang IS NOT DISTINCT FROM l.lang LEFT JOIN (SELECT * FROM f WHERE level = 2) z ON true)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(v0 <= x.f.a AND v1 <= x.f.b AND v2 >= x.f.lo AND v2 <= x.f.hi, true) AS kept
-FROM q LEFT JOIN x ON q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source"""
+v AS (SELECT rid, lang, source, {b("v0")} AS b0, {b("v1")} AS b1, {b("v2")} AS b2, base_failed FROM q),
+k AS MATERIALIZED (SELECT lang, source, unnest([0, 1, 2]) AS m, unnest([b0, b1, b2]) AS b FROM v WHERE NOT base_failed),
+{level("a", "")}, {level("l", "lang")}, {level("o", "lang, source")},
+ls AS (SELECT lang, {", ".join(shrunk("l.l", "a.a", "l.ln", x) + f" AS l{x}" for x in names)} FROM lq l, aq a),
+x AS (SELECT o.lang, o.source, {", ".join(shrunk("o.o", "ls.l", "o.on", x) + f" AS {x}" for x in names)} FROM oq o JOIN ls ON o.lang IS NOT DISTINCT FROM ls.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, q.base_failed,
+       NOT q.base_failed AND coalesce(b0 <= symbols_hi AND b1 <= lines_hi AND b2 <= length_hi AND b2 >= length_lo, true) AS kept
+FROM q JOIN v USING (rid) LEFT JOIN x ON q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source"""

@@ -6,15 +6,20 @@ the last token of the encoding of what stands before it, and the count at a pref
 the count there. Words end in a mark; a prefix that ends inside a word is a word of its own, so each
 prefix has an open encoding (the word goes on) and a closed one, by the same rule.
 
-Stored counts answer how many tokens a cut text has, and where to cut for a budget, without encoding.
+Stored counts answer how many tokens a cut text has, and where to cut for a budget, without encoding;
+the count of a whole text is that of its last prefix. Runs without white space are remembered with the
+counts of all their prefixes. Texts are taken apart at special strings, where the library starts anew, and
+prefixes that end inside a letter that normalisation composes continue the states of the run before it.
 
 Defined cases: a null text is empty and has 0 tokens; repeated rows count each; special strings in a
-text are one token each, as in the library; an empty table gives no rows.
+text are one token each, as in the library, and ordinary text while a prefix ends inside them; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -27,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 VOCABULARY, LIMIT = "word_bpe_49k", 2048
 #: Entries of a worker's memory of words; it is cleared when full.
 REMEMBERED = 600_000
-CONTROLS = re.compile(r"[\x1c-\x1f]")
-#: White space for the vocabulary's pattern, where it differs from str.split().
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Letters of words that share the states of their common prefixes.
+SHARED = 64
+#: White space for the vocabulary's pattern.
+SPACES = re.compile("([\t-\r \x85\xa0  -     　]+)")
 END = "</w>"
 
 
@@ -44,19 +52,32 @@ def byte_letters() -> list[str]:
 
 
 class Remembered(dict):
-    """A function of strings that remembers its values, so many at a time."""
+    """A function of strings that remembers its values, so many at a time: the older half goes when it is full."""
 
     def __init__(self, function) -> None:
         super().__init__()
         self.function = function
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str):
         if len(self) > REMEMBERED:
-            self.clear()
+            for old in list(itertools.islice(self, len(self) // 2)):
+                del self[old]
         value = self[key] = self.function(key)
         return value
 
 
+@functools.cache
+def followers() -> frozenset:
+    """Letters that may join the one before them when a text is composed: second in a decomposition, or a part of a Hangul syllable."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0xA0, 0x30000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(second | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])))
+
+
+def composed(s: str) -> str:
+    return unicodedata.normalize("NFC", s).replace("Σ", "σ").lower()
+
+
 class PrefixBpe:
     """Counts for a vocabulary of words with end marks."""
 
@@ -85,8 +106,10 @@ class PrefixBpe:
         self.letters = dict(enumerate(byte_letters()))
         self.pairs: dict[tuple, bool] = {}
         self.alone: dict[tuple, bool] = {}
-        self.words = Remembered(self.of_word)
-        self.pieces = Remembered(self.of_piece)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.inner_lengths, self.final_lengths = self.by_ending(self.inner), self.by_ending(self.final)
+        self.states: dict[str, tuple[str, int, bytes]] = {"": ("", 0, b"")}
+        self.runs = Remembered(self.of_run)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the adjacent pair of the least rank is merged, leftmost first."""
@@ -134,69 +157,191 @@ class PrefixBpe:
         self.pairs[key] = known
         return known
 
-    def counts(self, word: str, every: bool) -> list[int]:
-        """Tokens of each prefix of a word in byte letters, the empty one included; only the last if not every."""
-        n = len(word)
-        last, open_counts, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            low = max(0, j - self.longest)
-            if j < n:
-                for i in range(low, j):
-                    token = word[i:j]
-                    if token in self.inner and (self.compatible(last[i], token, "") if i else self.own(token, "")):
-                        last[j], open_counts[j] = token, open_counts[i] + 1
-                        break
-            if every or j == n:
-                for i in range(low, j):
-                    token = word[i:j]
-                    if token in self.final and (self.compatible(last[i], token, END) if i else self.own(token, END)):
-                        closed[j] = open_counts[i] + 1
-                        break
-        return closed
+    @staticmethod
+    def by_ending(tokens: set[str]) -> dict[str, list[int]]:
+        """Lengths, longest first, of the tokens of three letters and more that have an ending of three."""
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 2:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {e: sorted(n, reverse=True) for e, n in found.items()}
+
+    def fitting(self, word: str, j: int, tokens: set[str], lengths: dict[str, list[int]]) -> Iterator[tuple[int, str]]:
+        """(start, token) of the tokens that word[:j] ends with, longest first."""
+        for n in lengths.get(word[j - 3 : j], ()) if j > 2 else ():
+            if n <= j and (t := word[j - n : j]) in tokens:
+                yield j - n, t
+        for n in (2, 1):
+            if n <= j and (t := word[j - n : j]) in tokens:
+                yield j - n, t
+
+    def close(self, word: str, j: int, last, counts) -> int:
+        """Tokens of word[:j] as a whole word, from the states (last token and count) of shorter open prefixes."""
+        for i, t in self.fitting(word, j, self.final, self.final_lengths):
+            if self.compatible(last(i), t, END) if last(i) else self.own(t, END):
+                return counts(i) + 1
+        return 0
+
+    def open(self, word: str, j: int, last, counts) -> tuple[str, int]:
+        """The state of the open prefix word[:j], from those of shorter ones."""
+        for i, t in self.fitting(word, j, self.inner, self.inner_lengths):
+            if self.compatible(last(i), t, "") if last(i) else self.own(t, ""):
+                return t, counts(i) + 1
+        return "", 0
+
+    def extend(self, word: str, last: list[str], counts: list[int], closed: list[int] | None = None) -> None:
+        """Carry the states to the end of a word in byte letters; closed gets the counts of the prefixes as words."""
+        for j in range(len(last), len(word) + 1):
+            if closed is not None:
+                closed.append(self.close(word, j, last.__getitem__, counts.__getitem__))
+            token, n = self.open(word, j, last.__getitem__, counts.__getitem__)
+            last.append(token)
+            counts.append(n)
+
+    def ends(self, word: str) -> bytes | list[int]:
+        """Tokens of each prefix of a word as a word. Short words share the states of the prefixes they have in common."""
+        if len(word) > SHARED:
+            out: list[int] = []
+            self.extend(word, [""], [0], out)
+            return out
+        states = self.states
+        if len(states) > REMEMBERED:
+            states.clear()
+            states[""] = ("", 0, b"")
+        j = len(word)
+        while (known := states.get(word[:j])) is None:
+            j -= 1
+        last, counts = (lambda i: states[word[:i]][0]), (lambda i: states[word[:i]][1])
+        for j in range(j + 1, len(word) + 1):
+            end = self.close(word, j, last, counts)
+            known = states[word[:j]] = (*self.open(word, j, last, counts), known[2] + bytes((end,)))
+        return known[2]
 
     def spelled(self, piece: str) -> str:
         return "".join(map(self.letters.__getitem__, piece.encode()))
 
-    def of_piece(self, piece: str) -> int:
-        return self.counts(self.spelled(piece), False)[-1]
-
-    def of_word(self, word: str) -> int:
-        """Tokens of a run without white space, lower case and composed."""
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(word)))
+    def of_piece(self, piece: str) -> bytes | list[int]:
+        """Tokens of each prefix of a piece, the empty one left out."""
+        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # a contraction: its prefixes are cut otherwise
+            return bytes(sum(self.closed(p)[-1] for p in self.pattern.findall(piece[:k])) for k in range(1, len(piece) + 1))
+        return self.closed(piece)
+
+    def closed(self, piece: str) -> bytes | list[int]:
+        out = self.ends(self.spelled(piece))
+        if piece.isascii():
+            return out
+        at = itertools.accumulate(len(c.encode()) for c in piece)
+        return bytes(out[e - 1] for e in at) if type(out) is bytes else [out[e - 1] for e in at]
+
+    def of_run(self, run: str) -> bytes | tuple[int, ...]:
+        """Tokens of each prefix of a run without white space, the empty one left out: as bytes, if they fit."""
+        out: list[int] = []
+        done = 0
+        for m in self.pattern.finditer(run):
+            if m.end() - m.start() == len(run) and type(inner := self.of_piece(run)) is bytes:
+                return inner
+            out += [done] * (m.start() - len(out))
+            inner = self.of_piece(m[0])
+            out += [done + n for n in inner] if done else inner
+            done = out[-1]
+        out += [done] * (len(run) - len(out))
+        return bytes(out) if max(out, default=0) < 256 else tuple(out)
+
+    def of_plain(self, plain: str) -> np.ndarray:
+        """Tokens of plain[:k] for k = 0.., of a composed text in lower case without special strings."""
+        parts = SPACES.split(plain)
+        runs = list(map(self.runs.__getitem__, parts[::2]))
+        try:
+            inner = np.frombuffer(b"".join(runs), np.uint8)
+        except TypeError:
+            inner = np.fromiter(itertools.chain.from_iterable(runs), np.uint32)
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        totals = np.zeros(len(parts), np.int64)
+        totals[::2] = [r[-1] if r else 0 for r in runs]
+        done = np.cumsum(totals)
+        out = np.zeros(len(plain) + 1, np.uint32)
+        before = done - totals  # a run counts from what stands before it; white space adds nothing
+        out[1:] = np.repeat(before, lens)
+        if len(parts) == 1:
+            out[1:] += inner
+        else:
+            in_run = np.repeat(np.arange(len(parts)) % 2 == 0, lens)
+            out[1:][in_run] += inner
+        return out
 
-    def plain(self, text: str) -> str | None:
-        """The text composed and in lower case; None if the library has to find special strings in it."""
-        if any(s in text for s in self.special):
-            return None
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def of_segment(self, text: str) -> np.ndarray:
+        """Tokens of text[:k] for k = 0.., of a text without special strings."""
+        if text.isascii():
+            return self.of_plain(text.lower())
+        if unicodedata.is_normalized("NFC", text):
+            plain = text.replace("Σ", "σ").lower()
+            if len(plain) == len(text):
+                return self.of_plain(plain)
+        # letters with what joins them: their composed forms make up the whole, and prefixes that end inside one are closed apart
+        join = followers()
+        starts = [k for k, c in enumerate(text) if not k or not (unicodedata.combining(c) or c in join)]
+        letters = [text[a:b] for a, b in itertools.pairwise([*starts, len(text)])]
+        forms = list(map(composed, letters))
+        plain = "".join(forms)
+        whole = self.of_plain(plain)
+        out = np.zeros(len(text) + 1, np.uint32)
+        ends = list(itertools.accumulate(map(len, forms), initial=0))
+        out[[*starts, len(text)]] = whole[ends]
+        inside = [(s + k, p, composed(letter[:k])) for s, p, letter in zip(starts, ends, letters, strict=False) if len(letter) > 1 for k in range(1, len(letter))]
+        if inside:
+            pieces, at, known = [m.span() for m in self.pattern.finditer(plain)], 0, OpenPiece(self, plain, 0)
+            for k, p, form in inside:
+                while at < len(pieces) and pieces[at][1] < p:
+                    at += 1
+                start = pieces[at][0] if at < len(pieces) and pieces[at][0] < p <= pieces[at][1] else p
+                if known.start != start:
+                    known = OpenPiece(self, plain, start)
+                out[k] = whole[start] + known.ended(p, form)
+        return out
 
     def count(self, text: str) -> int:
-        """Tokens of a whole text: the last of its prefixes' counts."""
-        if (plain := self.plain(text)) is None:
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        split = plain.split() if not CONTROLS.search(plain) else SPACES.split(plain)
-        return sum(map(self.words.__getitem__, split))
+        """Tokens of a whole text: the count of its last prefix."""
+        return int(self.prefixes(text)[-1])
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:k] for k = 0..len(text), as the library would count each."""
-        if (plain := self.plain(text)) is None or plain != text.lower() or len(plain) != len(text):
-            return np.array([len(self.library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], np.uint32)
-        out, done, at = np.zeros(len(plain) + 1, np.uint32), 0, 0
-        for m in self.pattern.finditer(plain):
-            out[at + 1 : m.start() + 1] = done
-            piece = m[0]
-            if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # a contraction: its prefixes are cut otherwise
-                inner = [0, *(self.of_word(piece[:k]) for k in range(1, len(piece) + 1))]
-            else:
-                ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
-                inner = np.array(self.counts(self.spelled(piece), True))[ends]
-            out[m.start() : m.end() + 1] = done + np.array(inner)
-            at = m.end()
-            done += int(inner[-1])
-        out[at + 1 :] = done
-        return out
+        parts = self.cuts.split(text) if "<|" in text else [text]
+        if len(parts) == 1:
+            return self.of_segment(text)
+        out, done = [np.zeros(1, np.uint32)], 0
+        for k in range(0, len(parts), 2):
+            special = parts[k + 1] if k + 1 < len(parts) else ""
+            counts = self.of_segment(parts[k] + special[:-1])  # a special string is text until it is whole
+            out.append(counts[1:] + np.uint32(done))
+            done += int(counts[len(parts[k])]) + bool(special)
+            if special:
+                out.append(np.array([done], np.uint32))
+        return np.concatenate(out)
+
+
+class OpenPiece:
+    """The states of the piece of plain that begins at start, carried on as far as they are asked for."""
+
+    def __init__(self, bpe: PrefixBpe, plain: str, start: int) -> None:
+        self.bpe, self.plain, self.start, self.upto = bpe, plain, start, start
+        self.word, self.last, self.counts = "", [""], [0]
+
+    def ended(self, p: int, tail: str) -> int:
+        """Tokens of plain[start:p] + tail, for growing p."""
+        bpe, head = self.bpe, self.plain[max(self.start, p - 2) : p]
+        if p - self.start <= 2:
+            return sum(bpe.of_piece(x)[-1] for x in bpe.pattern.findall(head + tail))
+        new, self.upto = bpe.spelled(self.plain[self.upto : p]), p
+        window = self.word[-bpe.longest :] + new
+        low = len(window) - len(new)
+        last, counts = self.last[-low - 1 :], self.counts[-low - 1 :]
+        bpe.extend(window, last, counts)
+        self.word, self.last, self.counts = window[-2 * bpe.longest :], last[-2 * bpe.longest - 1 :], counts[-2 * bpe.longest - 1 :]
+        first, *rest = bpe.pattern.findall(head + tail)  # the piece goes on as far as the first
+        more = bpe.spelled(first[len(head) :])
+        word, last, counts = self.word + more, list(self.last), list(self.counts)
+        bpe.extend(word[:-1], last, counts)
+        return bpe.close(word, len(word), last.__getitem__, counts.__getitem__) + sum(bpe.of_piece(x)[-1] for x in rest)
 
 
 @functools.cache
@@ -204,31 +349,16 @@ def counter(vocabulary: str) -> PrefixBpe:
     return PrefixBpe(vocabulary)
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, keep_prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every row; with keep_prefixes also prefix_tokens: deflated uint32 counts of each prefix, by code points."""
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("prefix_tokens", T.BinaryType())] * keep_prefixes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = counter(vocabulary)
-        for batch in batches:
-            sizes, found, stored = [], [], []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                sizes.append(len(text.encode()))
-                if keep_prefixes:
-                    all_counts = bpe.prefixes(text)
-                    stored.append(zlib.compress(all_counts.astype("<u4").tobytes()))
-                    found.append(int(all_counts[-1]))
-                else:
-                    found.append(bpe.count(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), *([pa.array(stored, pa.binary())] if keep_prefixes else [])], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as deflated differences of neighbours, behind a byte that tells their width."""
+    steps = np.diff(counts.astype(np.int64))
+    kind = "<i1" if not len(steps) or np.abs(steps).max() < 128 else "<i4"
+    return kind[-1:].encode() + zlib.compress(steps.astype(kind).tobytes(), 1)
 
 
 def stored_counts(prefix_tokens: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(prefix_tokens), "<u4")
+    steps = np.frombuffer(zlib.decompress(prefix_tokens[1:]), f"<i{prefix_tokens[:1].decode()}")
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(steps, dtype=np.int64)))
 
 
 def tokens_of_prefix(prefix_tokens: bytes, n_chars: int) -> int:
@@ -242,6 +372,32 @@ def longest_within(prefix_tokens: bytes, budget: int) -> int:
     return int(np.flatnonzero(stored_counts(prefix_tokens) <= budget)[-1])
 
 
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budget: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, cut_chars, prefix_tokens of every row.
+
+    prefix_tokens holds the count of each prefix, by code points (stored_counts() reads it); n_tokens is
+    its last, cut_chars the length of the longest prefix within the budget.
+    """
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "cut_chars")), T.StructField("prefix_tokens", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = counter(vocabulary)
+        for batch in batches:
+            rows = []
+            for cell in batch.column(1):
+                text = cell.as_py() or ""
+                counts = bpe.prefixes(text)
+                n = int(counts[-1])
+                within = len(text) if n <= budget else int(np.flatnonzero(counts <= budget)[-1])
+                rows.append((len(text.encode()), n, within, pack_counts(counts)))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True))], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+@tidy
 def digest(docs: DataFrame) -> DataFrame:
-    """What op7 returns."""
-    return count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    """What op7 returns, with the cut for the limit and the stored prefix counts."""
+    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "cut_chars", "prefix_tokens")

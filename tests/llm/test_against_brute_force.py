@@ -150,12 +150,28 @@ def test_prefix_counts_are_the_librarys(spark, docs, none):
     for r in token_counts.digest(docs).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
         if r["doc_id"] is not None:
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((r["text"] or "").encode()), count(r["text"] or ""), count(r["text"] or "") > 2048)
+            stored = token_counts.stored_counts(r["prefix_tokens"])
+            assert len(stored) == len(r["text"] or "") + 1 and stored[-1] == r["n_tokens"] and r["cut_chars"] == token_counts.longest_within(r["prefix_tokens"], 2048)
     assert token_counts.digest(none).count() == 0
 
 
+def test_prefixes_of_composed_letters_and_special_strings():
+    bpe = token_counts.counter(token_counts.VOCABULARY)
+    count = lambda t: len(bpe.library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(7)
+    parts = ["e", "\u0301", "\u0327", "a", "b", " ", "'", "s", "İ", "Σ", "1", "-", "<|endoftext|>", "<|startoftext|>", "<|", "\u1100", "\u1161", "\u11a8", "\u0915\u093c", "=\u0338"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(200)]
+    texts += ["ab" * 60 + "e\u0301" * 40 + "<|endoftext|>" + "e\u0301x" * 50]
+    for t in texts:
+        assert [int(x) for x in bpe.prefixes(t)] == [count(t[:k]) for k in range(len(t) + 1)]
+    t = ("word " * 2000 + "<|endoftext|>") * 5 + "e\u0301" * 10_000 + "한국" * 10_000 + "<|startoftext|>" * 100  # over 10^5 letters
+    counts = bpe.prefixes(t)
+    assert len(counts) == len(t) + 1 and all(counts[k] == count(t[:k]) for k in (1000, 10_009, 50_066, 60_065, 60_066, 75_000, 90_001, len(t) - 7, len(t)))
+
+
 def test_stored_prefixes_answer_budgets(spark):
     text = "The quick brown fox's naïve jumps, 42 times over lazy dogs."
-    row = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_prefixes=True).first()
+    row = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     lib = token_counts.counter(token_counts.VOCABULARY).library
     n = lambda k: len(lib.encode(text[:k], add_special_tokens=False).ids)
     for budget in range(12):
