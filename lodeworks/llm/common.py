@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..storage import broadcast_if_small, global_row_number, materialize, read_table, shared_dir, shuffle_partitions, tidy
+from ..storage import broadcast_if_small, global_row_number, materialize, read_table, partitions_for, shared_dir, shuffle_partitions, tidy
 
-__all__ = ["WORD", "broadcast_if_small", "components", "global_row_number", "let", "materialize", "read_table", "shared_dir", "shuffle_partitions", "text_or_empty", "tidy"]
+__all__ = ["WORD", "broadcast_if_small", "components", "global_row_number", "let", "materialize", "partitions_for", "read_table", "shared_dir", "shuffle_partitions", "text_or_empty", "tidy"]
 
 #: A word of every contract: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -4,13 +4,16 @@ A hash rotates a unit vector by three rounds of random signs and fast Hadamard t
 the nearest vertex of the cross-polytope: the largest coordinate and its sign. A bucket of a table joins
 two such hashes with the label. Each vector lies in one bucket of a table and also probes those next
 nearest. Identical vectors stand for each other; buckets of one vector are dropped before vectors are
-shipped; large buckets are cut into blocks, and each pair of blocks is a unit of work, so no task gets a
+shipped. Large buckets are cut into blocks, and each pair of blocks is a unit of work, so no task gets a
 bucket whole. Inside a unit all pairs are verified by cosine in double precision, and each pair is
-counted in the first bucket that both share. Units return counts and a spanning forest, not pairs.
+counted in the first bucket that both share. Vectors with one bucket in the first table are counted there:
+later buckets of only such vectors are dropped, and a large group of them in a later bucket has blocks of
+its own that meet the others', but not each other. Units return counts and a spanning forest, not pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers, and those without
 label, link with nothing; lengths must be equal; repeated rows are vectors of their own and link if they
-can; an empty table gives no rows.
+can; a null vec_id is a vector like others and never names a class that has an id; rows of a class without
+ids have component_id null and are all kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, shuffle_partitions
+from .common import components, materialize, shuffle_partitions, tidy
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,9 @@ class EmbedParams:
     #: Buckets beside its own in which a vector looks, in each table.
     probes: int = 4
     #: Vectors of a bucket in a block.
-    block: int = 256
+    block: int = 2048
+    #: Vectors that are compared with a block at once.
+    rows: int = 512
     seed: int = 7
 
 
@@ -105,7 +110,7 @@ def hashed(vectors: DataFrame, params: EmbedParams) -> DataFrame:
 
 
 def buckets(hashes: DataFrame, params: EmbedParams) -> DataFrame:
-    """(table, code, label, dim, id, own) of every bucket in which a vector lies or looks."""
+    """(table, code, label, dim, id, own, home, second) of every bucket in which a vector lies or looks; home and second are its own ones in the first two tables."""
     width = 1 + params.probes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +123,35 @@ def buckets(hashes: DataFrame, params: EmbedParams) -> DataFrame:
                 fresh[:, :, p] = (c[:, :, p : p + 1] != c[:, :, :p]).all(2)
             row, table, probe = np.nonzero(fresh)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(table, pa.int64()), pa.array(c[row, table, probe]), labels.take(pa.array(row)), pa.array(dims[row]), ids.take(pa.array(row)), pa.array((probe == 0).astype(np.int64))],
-                names=["table", "code", "label", "dim", "id", "own"],
+                [pa.array(table, pa.int64()), pa.array(c[row, table, probe]), labels.take(pa.array(row)), pa.array(dims[row]), ids.take(pa.array(row)), pa.array((probe == 0).astype(np.int64)), pa.array(c[row, 0, 0]), pa.array(c[row, min(1, params.tables - 1), 0])],
+                names=["table", "code", "label", "dim", "id", "own", "home", "second"],
             )
 
-    return hashes.select("id", "label", F.octet_length("unit").alias("dim"), "codes").mapInArrow(run, "table long, code long, label string, dim long, id long, own long")
+    return hashes.select("id", "label", F.octet_length("unit").alias("dim"), "codes").mapInArrow(run, "table long, code long, label string, dim long, id long, own long, home long, second long")
+
+
+def work(where: DataFrame, params: EmbedParams) -> DataFrame:
+    """(table, code, label, dim, i, j, id, side): the units i, j of blocks of each bucket and the vectors that they compare; side is the vector's block."""
+    key = ["table", "code", "label", "dim"]
+    groups = where.groupBy(*key, "home").agg(F.count("*").alias("c"), F.sum("own").alias("o"), F.min("second").alias("s0"), F.max("second").alias("s1"))
+    large = F.collect_list(F.when(F.col("c") > params.block, F.struct("home", F.ceil(F.col("c") / params.block).cast("int").alias("n"))))
+    shared = groups.groupBy(*key).agg(F.sum("c").alias("m"), F.sum("o").alias("owners"), F.count("*").alias("homes"), F.min("s0").alias("s0"), F.max("s1").alias("s1"), large.alias("large"), F.sum(F.when(F.col("c") <= params.block, F.col("c"))).alias("rest"))
+    done = ((F.col("table") > 0) & (F.col("homes") == 1)) | ((F.col("table") > 1) & (F.col("s0") == F.col("s1")))  # all pairs were counted in an earlier table
+    shared = shared.where((F.col("m") > 1) & (F.col("owners") > 0) & ~done)
+    block = lambda home, i: F.struct(home.alias("home"), i.cast("int").alias("i"))
+    of_large = F.flatten(F.transform("large", lambda g: F.transform(F.sequence(F.lit(1), g["n"]), lambda i: block(g["home"], i))))
+    n_rest = F.ceil(F.coalesce("rest", F.lit(0)) / params.block).cast("int")
+    none = F.lit(None).cast("long")
+    of_rest = F.when(n_rest > 0, F.transform(F.sequence(F.lit(1), n_rest), lambda i: block(none, i)))
+    blocks = F.concat(of_large, F.coalesce(of_rest, F.array().cast("array<struct<home:bigint,i:int>>")))
+    shared = materialize(shared.select(*key, "large", n_rest.alias("n_rest"), blocks.alias("blocks")), "embed-shared")  # apart from the join, which can then split a large bucket
+    turn = lambda n: F.pmod(F.xxhash64("id"), n).cast("int") + 1
+    mine = F.get(F.filter("large", lambda g: g["home"] == F.col("home")), F.lit(0))
+    rows = where.join(shared, key).withColumn("mine", mine)
+    rows = rows.withColumn("mine", F.when(F.col("mine").isNotNull(), block(F.col("home"), turn(F.col("mine.n")))).otherwise(block(none, turn(F.col("n_rest")))))
+    meets = F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), lambda p: ~F.coalesce((F.col("table") > 0) & (F.get("blocks", p)["home"] == F.col("mine.home")), F.lit(False)))
+    rows = rows.select(*key, "id", (F.array_position("blocks", F.col("mine")) - 1).cast("int").alias("side"), F.explode(meets).alias("other"))
+    return rows.select(*key, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "side")
 
 
 def first_shared(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
@@ -159,21 +188,27 @@ def verified(units: DataFrame, params: EmbedParams) -> DataFrame:
     width = 1 + params.probes
 
     def unit(table: int, code: int, i: int, j: int, ids, ns, side, vec, cod) -> tuple[list, list, list]:
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((ids, side))
         ids, ns, side = ids[order], ns[order], side[order]
         x = np.frombuffer(b"".join(vec[k] for k in order), np.float64).reshape(len(ids), -1)
         c = np.frombuffer(b"".join(cod[k] for k in order), np.int64).reshape(len(ids), params.tables, width)
         own = c[:, table, 0] == code
-        close = np.triu(x @ x.T >= params.cosine, 1) & (own[:, None] | own[None, :])
-        if i != j:
-            close &= side[:, None] != side[None, :]
-        p, q = np.nonzero(close)
-        once = first_shared(c[p], c[q], table, code) if len(p) else np.zeros(0, bool)
-        p, q = p[once], q[once]
-        links = np.bincount(p, ns[q], len(ids)) + np.bincount(q, ns[p], len(ids))
-        root = forest(p, q, len(ids))
+        edge = int(np.searchsorted(side, j)) if i != j else None  # the second block starts here
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        stop = len(ids) if edge is None else edge
+        for lo in range(0, stop, params.rows):  # some rows with all after them, or with the other block
+            hi, at = min(lo + params.rows, stop), lo if edge is None else edge
+            close = (x[lo:hi] @ x[at:].T >= params.cosine) & (own[lo:hi, None] | own[None, at:])
+            p, q = np.nonzero(np.triu(close, 1) if edge is None else close)
+            p, q = p + lo, q + at
+            for some in range(0, len(p), 1 << 18):
+                a, b = p[some : some + (1 << 18)], q[some : some + (1 << 18)]
+                once = first_shared(c[a], c[b], table, code)
+                a, b = a[once], b[once]
+                links += np.bincount(a, ns[b], len(ids)).astype(np.int64) + np.bincount(b, ns[a], len(ids)).astype(np.int64)
+                root = forest(np.append(a, np.arange(len(ids))), np.append(b, root), len(ids))
         has, down = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
-        return [*ids[has], *ids[down]], [*[None] * len(has), *ids[root[down]]], [*links[has].astype(np.int64), *[None] * len(down)]
+        return [*ids[has], *ids[down]], [*[None] * len(has), *ids[root[down]]], [*links[has], *[None] * len(down)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -197,6 +232,7 @@ def verified(units: DataFrame, params: EmbedParams) -> DataFrame:
     return units.select(*names, F.concat_ws("|", "label", "dim").alias("_same")).mapInArrow(run, "a long, b long, links long")
 
 
+@tidy
 def link_vectors(vectors: DataFrame, params: EmbedParams = EmbedParams()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
@@ -205,25 +241,23 @@ def link_vectors(vectors: DataFrame, params: EmbedParams = EmbedParams()) -> Dat
     usable = F.coalesce(F.col("label").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = materialize(vectors.select("vec_id", "label", F.when(usable, e).alias("embedding")), "embed-rows")
     good = rows.where("embedding is not null")
-    same = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "embed-distinct")
+    same = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    same = materialize(same.withColumn("id", F.monotonically_increasing_id()), "embed-distinct")  # written, so the numbers stay
     hashes = materialize(hashed(same, params), "embed-hashes")
     where = materialize(buckets(hashes, params), "embed-buckets")
-    key = ["table", "code", "label", "dim"]
-    shared = where.groupBy(*key).agg(F.count("*").alias("m"), F.sum("own").alias("owners")).where("m > 1 and owners > 0")
-    n_blocks = F.ceil(F.col("m") / params.block).cast("int")
-    members = where.join(shared, key).select(*key, "id", n_blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", F.col("block").alias("side"))
-    units = members.join(hashes.select("id", "n", "unit", "codes"), "id")
-    units = units.repartition(shuffle_partitions(spark), *key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    key = ["table", "code", "label", "dim", "i", "j"]
+    units = work(where, params).join(hashes.select("id", "n", "unit", "codes"), "id")
+    units = units.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
     found = materialize(verified(units, params), "embed-found")
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"), "embed-components").withColumnRenamed("node", "id")
-    ids = materialize(same.join(links, "id", "left").join(comps, "id", "left"), "embed-result")
-    ids = ids.select("label", "embedding", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = good.join(ids, ["label", "embedding"]).select("vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    ids = same.join(links, "id", "left").join(comps, "id", "left")
+    ids = materialize(ids.select("label", "embedding", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")), "embed-result")
+    least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = ids.drop("least").join(least, "component")
+    out = good.join(ids, ["label", "embedding"]).select("vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = out.unionByName(rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialize, shuffle_partitions
+from .common import WORD, broadcast_if_small, materialize, shuffle_partitions, tidy
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,8 @@ class MixParams:
     share: float = 1.5
     #: No source is taken more often than this.
     max_repeats: int = 2
+    #: Documents from which a source is cut into 65,536 ranges instead of 256.
+    fine_from: int = 1 << 24
     #: Factors on the weight of each class at evenly spaced times from 0 to 1, linear in between:
     #: the first class is early, the second even, the third late.
     schedules: tuple[tuple[float, ...], ...] = field(default=((1.5, 1.25, 0.25), (1.0, 1.0, 1.0), (0.25, 1.25, 1.5)))
@@ -76,12 +78,12 @@ def time_of(part: Column, factors: tuple[float, ...]) -> Column:
 
 
 def plan_mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the kept columns, source, size, source_size, target, taken, first_at, second_at.
+    """One row per document: the kept columns, source, size, source_size, target, taken, and _take0, _at0, ... of each reading.
 
     A source's documents stand in the order of md5(doc_id); each holds the words from _before on. The
     mix takes the source's words from the start until the target, then from the start again: taken
-    counts them, and first_at and second_at are the times (0 to 1) at which a document's first and
-    second reading begins, null if it is not reached. Offsets are sums over 256 (or 65,536) ranges of
+    counts them, and _at0, _at1, ... are the times (0 to 1) at which a document's first, second, ...
+    reading begins, null if it is not reached. Offsets are sums over 256 (or 65,536) ranges of
     md5 a source, so that a source with a third of all rows is spread over as many tasks.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -91,7 +93,7 @@ def plan_mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str,
 
 
 def place(slim: DataFrame, params: MixParams, keep: tuple[str, ...]) -> DataFrame:
-    digits = 2 if slim.count() < 1 << 24 else 4
+    digits = 2 if slim.count() < params.fine_from else 4
     targets = broadcast_if_small(materialize(source_targets(slim, params), "mix-targets"))
     out = slim.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_rank", "source_size", "target")
     out = out.withColumn("_range", F.conv(F.substring("_order", 1, digits), 16, 10).cast("int"))
@@ -106,15 +108,15 @@ def place(slim: DataFrame, params: MixParams, keep: tuple[str, ...]) -> DataFram
     passes = [F.col("_before") + F.col("source_size") * k for k in range(params.max_repeats)]
     takes = [once(p).cast("long") for p in passes]
     out = out.withColumns({f"_take{k}": t for k, t in enumerate(takes)})
-    for k, name in ((0, "first_at"), (1, "second_at"))[: params.max_repeats]:
+    for k in range(params.max_repeats):
         part = passes[k].cast("double") / F.col("target")
         at = F.lit(None).cast("double")
         n = len(params.schedules)
         for c in range(n):
             at = F.when(F.col("source_rank") % n == c, time_of(part, params.schedules[c])).otherwise(at)
-        out = out.withColumn(name, F.when(F.col(f"_take{k}") > 0, at))
+        out = out.withColumn(f"_at{k}", F.when(F.col(f"_take{k}") > 0, at))
     taken = sum((F.col(f"_take{k}") for k in range(1, params.max_repeats)), F.col("_take0"))
-    return out.select(*keep, "source", "size", "source_size", "target", taken.alias("taken"), "first_at", *(["second_at"] if params.max_repeats > 1 else []), *[f"_take{k}" for k in range(params.max_repeats)])
+    return out.select(*keep, "source", "size", "source_size", "target", taken.alias("taken"), *[f"_{c}{k}" for k in range(params.max_repeats) for c in ("take", "at")])
 
 
 def in_training_order(df: DataFrame, position: str) -> DataFrame:
@@ -122,6 +124,7 @@ def in_training_order(df: DataFrame, position: str) -> DataFrame:
     return df.repartitionByRange(shuffle_partitions(df.sparkSession), F.col(position).asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
 
 
+@tidy
 def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mixed corpus: rows of docs, a row for each reading, range-sorted by training time.
 
@@ -130,7 +133,7 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     """
     row = F.xxhash64(F.col("doc_id"), F.col("text"))
     plan = plan_mix(docs.withColumn("_lw_row", row), params, keep=("doc_id", "_lw_row"))
-    readings = F.array(*[F.when((F.col(f"_take{k}") > 0) & (F.col(f"_take{k}") * 2 >= F.col("size")), F.col(("first_at", "second_at")[k])) for k in range(2)])
+    readings = F.array(*[F.when((F.col(f"_take{k}") > 0) & (F.col(f"_take{k}") * 2 >= F.col("size")), F.col(f"_at{k}")) for k in range(params.max_repeats)])
     plan = plan.select(F.col("doc_id").alias("_lw_doc"), "_lw_row", F.filter(readings, lambda x: x.isNotNull()).alias("_lw_at"))
     # documents that repeat (same id, same text) have a plan each; their readings are shared out by number
     same = Window.partitionBy("_lw_doc", "_lw_row").orderBy(F.size("_lw_at"), "_lw_at")
@@ -145,9 +148,10 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     return in_training_order(out, "_lw_time").drop("_lw_time")
 
 
+@tidy
 def digest(docs: DataFrame) -> DataFrame:
     """What op3 returns: doc_id, size, source_size, target, taken and the first position in training."""
-    plan = plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.col("first_at").alias("position"))
+    plan = plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.col("_at0").alias("position"))
     return in_training_order(plan, "position")
 
 

@@ -13,10 +13,8 @@ null doc_id is kept; an empty table gives no pieces. Whole texts are encoded; pi
 
 from __future__ import annotations
 
-import base64
 import bisect
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,42 +26,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, tidy
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "byte_bpe_50k"
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Texts with a longer run without white space go to the library with the faster merge of long words.
-LONG_RUN = re.compile(r"\S{20000}")
+#: Characters of the texts that are encoded together, unless one has more.
+TOGETHER = 1 << 20
 
 
 @functools.cache
-def encoders(vocabulary: str):
-    """The encoding by ranks, which is the faster, and by tokenizers, of the same vocabulary."""
+def encoder(vocabulary: str):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
-def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    """The ids that tokenizers gives for the whole text, special strings included, without added ones."""
-    fast, exact = encoders(vocabulary)
-    if len(text) >= 20_000 and LONG_RUN.search(text):
-        return exact.encode(text, add_special_tokens=False).ids
-    if SPECIAL not in text:
-        return fast.encode_ordinary(text)
-    ids: list[int] = []
-    for k, part in enumerate(text.split(SPECIAL)):
-        ids += ([SPECIAL_ID] if k else []) + fast.encode_ordinary(part)
-    return ids
+def encoded(texts: Iterator[str], vocabulary: str = VOCABULARY) -> Iterator[list[int]]:
+    """The ids that the library gives for each whole text, special strings included, without added ones."""
+    library, some, size = encoder(vocabulary), [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield from (e.ids for e in library.encode_batch_fast(some, add_special_tokens=False))
+            some, size = [], 0
+    yield from (e.ids for e in library.encode_batch_fast(some, add_special_tokens=False))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,8 +74,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, with_ids: bool) -> D
         pid, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
             rows, found, blobs = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "", vocabulary)
+            for i, ids in enumerate(encoded((text.as_py() or "" for text in batch.column(1)), vocabulary)):
                 ids.append(END_ID)
                 raw = np.array(ids, "<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
@@ -164,6 +154,7 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return [(x, r, first, m, o) for groups in by_gap.values() for first, _, content in groups for x, r, m, o in content]
 
 
+@tidy
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian uint32)."""
     spark = docs.sparkSession

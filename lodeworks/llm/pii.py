@@ -1,16 +1,20 @@
 """Personal data: base patterns, extended by bootstrapped contextual extraction [DataFrame operations only].
 
-Base matches of four kinds are seeds. The words around a seed are lexical patterns: the two words before
-it, and the word on either side. Patterns and the identifier-like values seen in them form a bipartite
-graph, scored in rounds: a pattern's score for a kind is the mean score of its values, a value's that of
-its patterns, seeds stay at one. Patterns with enough seed values from enough documents and a high score
-then mark values that no base pattern knows, if their shape can be of the kind. Such values are words, and
-whole runs of digits written with blanks; a word in a run counts only if it can be a value by itself.
-
-Positions come from the pieces between matches, so no text leaves the JVM. Offsets are code points.
+Base matches of four kinds are seeds. So are long hexadecimal words, of a fifth kind, secrets, which no base
+pattern knows; a secret counts only where a trusted pattern says so. The words around a seed are lexical
+patterns: two or three words before it, the word on either side, two words behind it. Patterns and the
+identifier-like values seen in them are a bipartite graph, scored in rounds: a pattern's score for a kind is
+the sum of its values' scores over their number and a half, a free value's the mean of its patterns', seeds
+stay at one, and seeds of other kinds and values whose shape cannot be of the kind stay at zero. Free values
+of patterns with enough seeds, from enough documents, and a high score are found; they become seeds
+themselves, new patterns are induced from all seeds, and so on until nothing new is found.
+
+Positions come from the pieces between matches, so no text leaves the JVM. Texts are cut into chunks where
+no match can cross, behind a letter and a blank or at a line end, so that the work grows with their length.
+Offsets are code points.
 
 Defined cases: a null text is empty and has no spans; repeated rows have the same spans each; matches of
-different kinds may overlap; an empty table gives no rows.
+different kinds may overlap; found values never overlap base spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, materialize, text_or_empty
+from .common import broadcast_if_small, let, materialize, text_or_empty, tidy
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of found values: the base ones and secrets.
+ALL_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
 #: The contract's patterns, written so that Java neither tries a run again from its middle nor recurses on long ones.
 REGEX = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,18 +40,26 @@ REGEX = {
 }
 #: A text without this has no match.
 NEEDS = {"email": "@", "phone": "+"}
-#: A value that may identify someone: a word with a digit or an at sign.
-LOOSE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A value that may identify someone: a run of such letters with a digit or an at sign; marks at its ends are no part of it.
+LOOSE = r"(?<![A-Za-z0-9@._%+:-])(?=[A-Za-z._%+:-]*+[0-9@])[A-Za-z0-9@._%+:-]++"
+LEADING, TRAILING = r"^[._%:-]*+", r"[._%+:-]*+$"
 #: And a run of digits joined by blanks, brackets, dots and hyphens: phones and cards without the '+', the length or the Luhn test.
 RUN = r"\+?\(?[0-9]++(?:[\x20().-]++[0-9]++)++"
-SPAN = "array<struct<kind:int,start:int,end:int>>"
+#: A seed of a secret.
+HEX = r"^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}$"
+#: A chunk: from some length on, up to the next place that no match crosses.
+CHUNK = r"(?s).{8192,}?(?:[A-Za-z]\x20|\n)|.+"
+SPAN = "struct<start:int,kind:int,end:int>"
+SEEN = "struct<kind:int,chunk:int,start:int,end:int,value:string,patterns:array<string>>"
 
 
 @dataclass(frozen=True)
 class PiiParams:
     #: Seed values, and documents, that a pattern needs for a kind.
     least_seeds: int = 3
+    #: Rounds of scores in a graph, and rounds of new seeds at most.
     rounds: int = 3
+    generations: int = 4
     least_score: float = 0.8
     #: Characters on either side in which context words are sought.
     context: int = 48
@@ -90,6 +105,10 @@ def matches(text: Column, pattern: str, ok, made) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 def base_spans(text: Column) -> Column:
     """All base spans, by start, then kind."""
     found = []
@@ -98,118 +117,195 @@ def base_spans(text: Column) -> Column:
         spans = matches(text, REGEX[kind], partial(valid, kind), span)
         if kind in NEEDS:
             spans = F.when(F.contains(text, F.lit(NEEDS[kind])), spans)
-        found.append(F.coalesce(spans, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+        found.append(F.coalesce(spans, none_of(SPAN)))
     return F.array_sort(F.concat(*found))
 
 
+def chunks(text: Column, context: int) -> Column:
+    """The text's chunks, in order: at (where it starts), before and after (what stands around it), body. None if no value can be in it."""
+
+    def placed(parts: Column) -> Column:
+        upto = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none_of("int").alias("out")), upto, lambda a: a["out"])
+        near = lambda x: F.coalesce(x, F.lit(""))
+        one = lambda o: F.transform(parts, lambda x, i: F.struct(F.get(o, i).alias("at"), near(F.when(i > 0, F.right(F.get(parts, i - 1), F.lit(context)))).alias("before"), x.alias("body"), near(F.left(F.get(parts, i + 1), F.lit(context))).alias("after")))
+        return let(starts, one)
+
+    return F.when(F.regexp(text, F.lit("[0-9@]")), let(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), placed)).otherwise(none_of("struct<at:int,before:string,body:string,after:string>"))
+
+
 def words_of(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def context(text: Column, start: Column, end: Column, params: PiiParams) -> Column:
-    """The two patterns of a place: the two words before it, and the words on either side; values in them are masked."""
+def context(text: Column, start: Column, end: Column, width: int) -> Column:
+    """The patterns of a place, values in them masked: two and three words before it, the words on either side, two words behind it. Each holds a word."""
     mask = lambda w: F.regexp_replace(w, r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", "0")
-    low = F.greatest(start - params.context, F.lit(0))
-    before = words_of(F.substring(text, low + 1, start - low))
-    after = words_of(F.substring(text, end + 1, F.lit(params.context)))
-    last = lambda k: F.coalesce(mask(F.try_element_at(before, F.lit(-k))), F.lit("^"))
-    first = F.coalesce(mask(F.get(after, F.lit(0))), F.lit("$"))
-    return F.array(F.concat_ws(" ", last(2), last(1), F.lit("_")), F.concat_ws(" ", last(1), F.lit("_"), first))
+    low = F.greatest(start - width, F.lit(0))
+
+    def patterns(before: Column, after: Column) -> Column:
+        left = [F.coalesce(mask(F.try_element_at(before, F.lit(-k))), F.lit("^")) for k in (1, 2, 3)]
+        right = [F.coalesce(mask(F.get(after, F.lit(k))), F.lit("$")) for k in (0, 1)]
+        forms = [F.concat_ws(" ", left[1], left[0], F.lit("_")), F.concat_ws(" ", left[0], F.lit("_"), right[0]), F.concat_ws(" ", left[2], left[1], left[0], F.lit("_")), F.concat_ws(" ", F.lit("_"), right[0], right[1])]
+        return F.filter(F.array(*forms), lambda f: F.regexp(f, F.lit(r"(?:^|\x20)[^\x20]*[^\x20_^$0]")))
+
+    return let(words_of(F.substring(text, low + 1, start - low)), lambda b: let(words_of(F.substring(text, end + 1, F.lit(width))), lambda a: patterns(b, a)))
+
+
+def loose_values(text: Column) -> Column:
+    """(start, end, value) of the values of a chunk that no base pattern need know: words, and runs of digits with blanks."""
+
+    def trimmed(v: Column, s: Column, e: Column) -> Column:
+        return let(F.length(F.regexp_extract(v, LEADING, 0)), lambda a: let(F.length(F.regexp_extract(v, TRAILING, 0)), lambda z: F.struct((s + a).cast("int").alias("start"), (e - z).cast("int").alias("end"), F.substring(v, a + 1, F.length(v) - a - z).alias("value"))))
+
+    whole = lambda v, s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value"))
+    words = F.filter(matches(text, LOOSE, lambda m: F.length(m) >= 5, trimmed), lambda x: F.length(x["value"]) >= 5)
+    runs = matches(text, RUN, lambda m: (F.length(m) >= 5) & F.contains(m, F.lit(" ")), whole)
+    inside = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    # of a word in a run, the run counts, unless only the word can be a value
+    alone = lambda r: F.filter(words, lambda x: ~F.exists(r, lambda y: inside(x, y) & (could_be(y["value"]) | ~could_be(x["value"]))))
+    return let(runs, lambda r: F.concat(alone(r), r))
+
+
+def of_chunk(c: Column, number: Column, params: PiiParams) -> Column:
+    """base: the spans of a chunk; seen: its values with their patterns, seeds with their kind, others without."""
+
+    def found(around: Column, lead: Column, base: Column) -> Column:
+        def seen(kind: Column, start: Column, end: Column, value: Column) -> Column:
+            patterns = context(around, start + lead, end + lead, params.context)
+            return F.struct(kind.cast("int").alias("kind"), number.alias("chunk"), (start + c["at"]).alias("start"), (end + c["at"]).alias("end"), value.alias("value"), patterns.alias("patterns"))
+
+        seeds = F.transform(base, lambda b: seen(b["kind"], b["start"], b["end"], F.substring(c["body"], b["start"] + 1, b["end"] - b["start"])))
+        free = F.filter(loose_values(c["body"]), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        others = F.transform(free, lambda x: seen(F.when(F.regexp(x["value"], F.lit(HEX)), F.lit(SECRET)), x["start"], x["end"], x["value"]))
+        moved = F.transform(base, lambda b: F.struct((b["start"] + c["at"]).alias("start"), b["kind"].alias("kind"), (b["end"] + c["at"]).alias("end")))
+        return F.struct(moved.alias("base"), F.concat(seeds, others).alias("seen"))
+
+    return let(F.concat(c["before"], c["body"], c["after"]), lambda around: let(F.length(c["before"]), lambda lead: let(base_spans(c["body"]), lambda base: found(around, lead, base))))
 
 
 def with_spans(docs: DataFrame, params: PiiParams, key: list[Column]) -> DataFrame:
-    """key columns, base (all base spans) and seen: values with patterns, seeds (with kind) and loose ones (without)."""
-    place = lambda v, s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value"))
-    text = F.col("text")
-    out = docs.select(*key, text_or_empty().alias("text"))
-    out = out.withColumn("base", base_spans(text))
-    has = F.regexp(text, F.lit("[0-9@]"))
-    out = out.withColumn("loose", F.when(has, matches(text, LOOSE, lambda m: F.length(m) >= 5, place)))
-    out = out.withColumn("runs", F.when(has, matches(text, RUN, lambda m: (F.length(m) >= 5) & F.contains(m, F.lit(" ")), place)))
-    alone = F.filter("loose", lambda x: could_be(x["value"]) | ~F.exists("runs", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"])))
-    out = out.withColumn("loose", F.concat(alone, "runs"))
-    seed = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("value"), context(text, b["start"], b["end"], params).alias("patterns")))
-    free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    other = F.transform(free, lambda x: F.struct(F.lit(None).cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(text, x["start"], x["end"], params).alias("patterns")))
-    return out.withColumn("seen", F.concat(seed, F.coalesce(other, F.array().cast("array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>")))).drop("text", "loose", "runs")
+    """key columns, base (all base spans) and seen (all values with their patterns)."""
+    out = docs.select(*key, chunks(text_or_empty(), params.context).alias("_lw_chunks"))
+    out = out.withColumn("_lw_of", F.transform("_lw_chunks", lambda c, i: of_chunk(c, i, params))).drop("_lw_chunks")
+    part = lambda name, kind: F.coalesce(F.flatten(F.transform("_lw_of", lambda x: x[name])), none_of(kind))
+    return out.withColumns({"base": part("base", SPAN), "seen": part("seen", SEEN)}).drop("_lw_of")
 
 
 def fits(kind: Column, value: Column) -> Column:
     """Whether an unknown value has a shape that the kind can take."""
-    n = F.length(digits(value))
-    return F.when(kind == 0, F.contains(value, F.lit("@"))).when(kind == 1, F.regexp(value, F.lit(r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){3,7}$"))).when(kind == 2, n.between(12, 19)).otherwise(n.between(7, 15))
+    n, number = F.length(digits(value)), F.regexp(value, F.lit(r"^[+(]*[0-9][0-9().\x20-]*$"))
+    secret = F.regexp(value, F.lit(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9._%+:-]{16,}$"))
+    shapes = [F.contains(value, F.lit("@")), F.regexp(value, F.lit(r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){3,7}$")), number & n.between(12, 19), number & n.between(7, 15), secret]
+    out = F.lit(False)
+    for k, shape in enumerate(shapes):
+        out = F.when(kind == k, shape).otherwise(out)
+    return out
 
 
 def could_be(value: Column) -> Column:
     """Whether a value fits any kind."""
-    return F.coalesce(*[F.when(fits(F.lit(k), value), True) for k in range(len(KINDS))], F.lit(False))
-
-
-def reliable_patterns(seen: DataFrame, params: PiiParams) -> DataFrame:
-    """(pattern, kind, score) of the patterns to trust, from (rid, kind, value, pattern)."""
-    seeds = seen.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("v"), F.count_distinct("rid").alias("d"))
-    strong = materialize(seeds.where((F.col("v") >= params.least_seeds) & (F.col("d") >= params.least_seeds)).select("pattern", F.col("kind").alias("k")), "pii-patterns")
-    if not strong.limit(1).count():
-        return strong.select("pattern", F.col("k").alias("kind"), F.lit(1.0).alias("score"))
-    edges = seen.join(broadcast_if_small(strong), "pattern").groupBy("pattern", "k", "value").agg(F.max(F.coalesce(F.col("kind") == F.col("k"), F.lit(False))).alias("seed"))
-    edges = materialize(edges, "pii-graph")
-    values = edges.groupBy("k", "value").agg(F.max("seed").cast("double").alias("r"))
-    for _ in range(params.rounds):
-        patterns = materialize(edges.join(values, ["k", "value"]).groupBy("pattern", "k").agg(F.avg("r").alias("score")), "pii-scores")
-        again = edges.join(patterns, ["pattern", "k"]).groupBy("k", "value").agg(F.max("seed").alias("seed"), F.avg("score").alias("s"))
-        values = materialize(again.select("k", "value", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("s")).alias("r")), "pii-values")
-    return patterns.where(F.col("score") >= params.least_score).select("pattern", F.col("k").alias("kind"), "score")
-
-
-def discovered(slim: DataFrame, params: PiiParams, key: list[str]) -> DataFrame:
-    """Key columns and found: array of spans that trusted patterns add."""
+    return F.coalesce(*[F.when(fits(F.lit(k), value), True) for k in range(len(ALL_KINDS))], F.lit(False))
+
+
+def scores(edges: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, k, score) after so many rounds over edges (pattern, k, value, r): r is null for free values, which start at zero."""
+    values = None
+    for _ in range(rounds):
+        rated = edges.withColumn("_now", F.coalesce("r", F.lit(0.0))) if values is None else edges.join(values, ["k", "value"], "left").withColumn("_now", F.coalesce("r", "s", F.lit(0.0)))
+        patterns = rated.groupBy("pattern", "k").agg((F.sum("_now") / (F.count("*") + 0.5)).alias("score"))
+        values = edges.where("r is null").join(patterns, ["pattern", "k"]).groupBy("k", "value").agg(F.avg("score").alias("s"))
+    return patterns
+
+
+def reliable_patterns(seen: DataFrame, params: PiiParams) -> DataFrame | None:
+    """(pattern, k, score) of the patterns to trust, from (rid, kind, value, pattern): generations of patterns from seeds and seeds from patterns."""
+    seeds = seen.where("kind is not null").select(F.col("kind").alias("k"), "value").distinct()
+    of_kind = seeds.groupBy("value").agg(F.collect_set("k").alias("kinds"))  # at most as many as there are kinds
+    trusted, many = None, -1
+    for _ in range(params.generations):
+        held = seen.select("rid", "pattern", "value").join(seeds, "value").groupBy("pattern", "k").agg(F.count_distinct("value").alias("v"), F.count_distinct("rid").alias("d"))
+        strong = materialize(held.where((F.col("v") >= params.least_seeds) & (F.col("d") >= params.least_seeds)).select("pattern", "k"), "pii-patterns")
+        if not strong.limit(1).count():
+            return trusted
+        edges = seen.select("pattern", "value").distinct().join(broadcast_if_small(strong), "pattern")
+        known = seeds.select("k", "value", F.lit(True).alias("seed"))
+        edges = edges.join(known, ["k", "value"], "left").join(of_kind, "value", "left")
+        r = F.when(F.col("seed"), 1.0).when(F.col("kinds").isNotNull() | ~fits(F.col("k"), F.col("value")), 0.0)
+        edges = materialize(edges.select("pattern", "k", "value", r.alias("r")), "pii-graph")
+        trusted = materialize(scores(edges, params.rounds).where(F.col("score") >= params.least_score), "pii-scores")
+        found = edges.where("r is null").join(broadcast_if_small(trusted.select("pattern", "k")), ["pattern", "k"], "left_semi").select("k", "value")
+        seeds = materialize(seeds.unionByName(found).distinct(), "pii-seeds")
+        if (now := seeds.count()) == many:
+            break
+        many = now
+    return trusted
+
+
+def discovered(slim: DataFrame, params: PiiParams, key: list[str]) -> DataFrame | None:
+    """Key columns and _lw_found: the spans that trusted patterns add, as arrays by chunk; None if there are none."""
     seen = slim.where(F.size("seen") > 0).select(*key, F.explode("seen").alias("o")).select(*key, "o.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     rid = F.col(key[0]) if len(key) == 1 else F.xxhash64(*key)
-    trusted = reliable_patterns(seen.select(rid.alias("rid"), "kind", "value", "pattern"), params).withColumnRenamed("kind", "k")
-    loose = seen.where("kind is null").join(broadcast_if_small(trusted), "pattern").where(fits(F.col("k"), F.col("value")))
-    spans = loose.groupBy(*key, "start", "end").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind"))
-    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("kind").alias("kind"), F.col("end")))).alias("_lw_found"))
+    seen = materialize(seen.withColumn("rid", rid) if key != ["rid"] else seen, "pii-seen")
+    trusted = reliable_patterns(seen.select("rid", "kind", "value", "pattern"), params)
+    if trusted is None or not trusted.limit(1).count():
+        return None
+    loose = seen.where(f"kind is null or kind = {SECRET}").join(broadcast_if_small(trusted), "pattern").where(fits(F.col("k"), F.col("value")))
+    spans = loose.groupBy(*key, "chunk", "start", "end").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind"))
+    spans = spans.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    spans = spans.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("chunk", "spans"))).alias("_lw_found"))
+    return materialize(spans, "pii-found")
 
 
 def joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@tidy
 def find(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row."""
     slim = materialize(with_spans(docs, params, [F.col("doc_id"), F.monotonically_increasing_id().alias("rid")]), "pii-rows")
-    more = materialize(discovered(slim, params, ["rid"]), "pii-found")
-    out = slim.select("doc_id", "rid", "base").join(broadcast_if_small(more), "rid", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("_lw_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    more = discovered(slim, params, ["rid"])
+    out, every = slim.select("doc_id", "rid", "base"), F.col("base")
+    if more is not None:
+        out = out.join(more, "rid", "left")
+        every = F.array_sort(F.concat("base", F.coalesce(F.flatten(F.map_values("_lw_found")), none_of(SPAN))))
+    out = out.withColumn("_lw_every", every)
     n = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
-    return out.select("doc_id", *[n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
+    return out.select("doc_id", *[n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("_lw_every")).alias("spans"), F.size("_lw_every").cast("long").alias("n_spans"))
 
 
-def redact(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets (overlapping spans by the first's); n_chars, if there, follows. A null text stays null."""
-    key = [F.col("doc_id").alias("_lw_doc"), F.xxhash64("text").alias("_lw_text")]
-    slim = materialize(with_spans(docs, params, key), "pii-rows")
-    more = materialize(discovered(slim, params, ["_lw_doc", "_lw_text"]).dropDuplicates(["_lw_doc", "_lw_text"]), "pii-found")
-    text = F.col("text")
-    if more.limit(1).count():
-        rows = docs.withColumns({"_lw_d": F.col("doc_id"), "_lw_t": F.xxhash64("text")}).join(broadcast_if_small(more), F.col("_lw_d").eqNullSafe(F.col("_lw_doc")) & (F.col("_lw_t") == F.col("_lw_text")), "left")
-        spans = F.array_sort(F.concat(base_spans(text), F.coalesce("_lw_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    else:
-        rows, spans = docs, base_spans(text)
-    rows = rows.withColumn("_lw_spans", spans)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def redacted(body: Column, spans: Column) -> Column:
+    """body with each span replaced by its kind in brackets, overlapping ones by the first's."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
 
     def add(acc: Column, s: Column) -> Column:
         covered = s["start"] < acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
+        piece = F.concat(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.aggregate("_lw_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end)
-    rows = rows.withColumn("text", F.when(F.size("_lw_spans") > 0, clean).otherwise(text))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+
+
+@tidy
+def redact(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+    """docs with each span of text replaced by its kind in brackets (overlapping spans by the first's); n_chars, if there, follows. A null text stays null."""
+    key = [F.col("doc_id").alias("_lw_doc"), F.xxhash64("text").alias("_lw_text")]
+    slim = materialize(with_spans(docs, params, key), "pii-rows")
+    more = discovered(slim, params, ["_lw_doc", "_lw_text"])
+    rows, text = docs, F.col("text")
+    own = lambda c, i: base_spans(c["body"])
+    if more is not None:
+        rows = docs.withColumns({"_lw_d": F.col("doc_id"), "_lw_t": F.xxhash64("text")}).join(more, F.col("_lw_d").eqNullSafe(F.col("_lw_doc")) & (F.col("_lw_t") == F.col("_lw_text")), "left")
+        here = lambda c, i: F.transform(F.coalesce(F.try_element_at("_lw_found", i), none_of(SPAN)), lambda s: F.struct((s["start"] - c["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] - c["at"]).alias("end")))
+        own = lambda c, i: F.array_sort(F.concat(base_spans(c["body"]), here(c, i)))
+    one = lambda c, i: let(own(c, i), lambda spans: F.struct(F.size(spans).alias("n"), redacted(c["body"], spans).alias("text")))
+    rows = rows.withColumn("_lw_parts", F.transform(chunks(F.coalesce(text, F.lit("")), params.context), one))
+    changed = F.exists("_lw_parts", lambda x: x["n"] > 0)
+    rows = rows.withColumn("text", F.when(changed, F.array_join(F.transform("_lw_parts", lambda x: x["text"]), "")).otherwise(text))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_lw_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

@@ -98,13 +98,13 @@ def fences(stats: DataFrame, params: QualityParams = QualityParams()) -> DataFra
         at = lambda m, k: F.min(F.when((F.col("m") == m) & (F.col("_upto") * 100 >= F.col("_all") * k), F.col("b")))
         return s.groupBy(*group).agg(F.max("_all").alias(f"{mark}n"), *[at(m, tails[name]).alias(f"{mark}{name}") for name, m, _ in FENCES])
 
-    def shrunk(own: str, above: str) -> Column:
+    def shrunk(own: str, above: str | int) -> Column:
         n = own[0] + "n"
         return F.expr(f"({n} * {own} + {params.prior} * {above}) div ({n} + {params.prior})")
 
-    whole = quantiles([], "a")
-    langs = quantiles(["lang"], "l").join(F.broadcast(whole))  # one row
-    langs = materialize(langs.select(F.col("lang").alias("_lang"), *[shrunk(f"l{name}", f"a{name}").alias(f"l{name}") for name in tails]), "quality-languages")
+    whole = quantiles([], "a").first()  # one row of four numbers
+    langs = quantiles(["lang"], "l").select(F.col("lang").alias("_lang"), *[shrunk(f"l{name}", whole[f"a{name}"] or 0).alias(f"l{name}") for name in tails])
+    langs = materialize(langs, "quality-languages")
     own = quantiles(["lang", "source"], "o").join(broadcast_if_small(langs), F.col("lang").eqNullSafe(F.col("_lang")))
     return own.select("lang", "source", *[shrunk(f"o{name}", f"l{name}").alias(name) for name in tails])
 

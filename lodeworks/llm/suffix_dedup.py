@@ -13,11 +13,15 @@ task, as executors share no local folder.
 Whole documents would take as many rounds as the longest has bytes. So the collection is made of what can
 repeat: each window of `width` bytes holds an anchor, the least of its `seed`-byte strings by hash, and
 equal windows hold equal anchors. The strings of the collection are the surroundings of anchors, all
-windows that can hold them; equal surroundings (128 bits of hashes) stand for each other, so only the
-least document of each matters, and only anchors with different surroundings need rounds. Anchors,
-surroundings and results travel as packed arrays, one row for a bucket and a block of documents. A block
-sends equal surroundings only once, so that a passage of all documents reaches a task once for each
-block; anchors that are nevertheless frequent are taken apart into windows, which spread over the buckets.
+windows that can hold them. Surroundings that agree in 128 bits of hashes are proposed as equal: only the
+least document of each matters then, and only anchors with different surroundings need rounds. Nothing is
+removed on a hash: proposals of neighbouring anchors are joined into long matches, the bytes of the smaller
+document are sent to the larger one, and what differs stays.
+
+Anchors, surroundings and results travel as packed arrays, one row for a bucket and a block of documents. A
+block sends equal surroundings only once, so that a passage of all documents reaches a task once for each
+block. Anchors in many surroundings are taken apart into windows, which spread over the buckets; those that
+are crowded in one block already stay there, and their bucket only hears of them.
 
 Defined cases: a null text is empty; a null id comes before all others; rows of equal id do not remove
 from each other; texts shorter than `width` bytes lose nothing; an empty table gives no rows.
@@ -30,12 +34,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_or_empty
+from .common import broadcast_if_small, materialize, partitions_for, text_or_empty, tidy
 from .packed import by_key, packed, pair_runs, planes, rows_of, runs, unplaned
 
 U8 = np.uint64
@@ -51,6 +56,10 @@ class DedupParams:
     seed: int = 28
     #: Entries of an anchor in a bucket from which it is taken apart into windows.
     frequent: int = 50_000
+    #: Different surroundings of an anchor in one block from which it is crowded.
+    crowd: int = 64
+    #: Rows, of a key each, up to which the documents that are asked for bytes are found by a broadcast, after a count.
+    broadcast_keys: int = 500_000
     #: Strings that go through the rounds together, unless one anchor has more.
     together: int = 2000
 
@@ -116,19 +125,28 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 BLOB = "bucket long, kind int, block long, a binary, b binary, c binary, d binary, e binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde")])
-ANCHORS, HITS, DOCUMENTS, COVERED = 0, 1, 2, 3
+ANCHORS, CROWDED, HITS, DOCUMENTS, COVERED, MATCHES = range(6)
+#: Kinds of rows in what the anchors tell: of a document, of the bytes a block is asked for, and the keys of its rows.
+TOLD, ASKED, KEYS = range(3)
 SLICE = 4000
 
 
-def repeated_anchors(keyed: DataFrame, params: DedupParams) -> DataFrame:
-    """What anchors tell of each document: (rk, low, high, positions, hashes), packed.
+def joined_rows(rows: list, kinds: tuple, *columns: tuple[int, type]) -> list[np.ndarray]:
+    """Packed columns (number, type) of the rows of some kinds, each as one array."""
+    rows = [r for r in rows if r[1] in kinds]
+    return [np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]) for k, t in columns]
+
+
+def repeated_anchors(keyed: DataFrame, n: int, params: DedupParams) -> DataFrame:
+    """What anchors tell, packed: (kind, key, a, b, c, d, e).
 
-    An anchor whose surroundings are also those of a smaller document covers them all: intervals low,
-    high. One that has the least document of its surroundings, but stands in others elsewhere, is left
-    to the rounds: positions, hashes. At rk null are the frequent ones among these.
+    TOLD, by row key: intervals low, high that a smaller document of the same block covers, compared byte
+    by byte, and the anchors left to the rounds: positions, hashes and whether they are taken apart.
+    ASKED, by block: row in it, first byte, length, of what should cover (row key, first byte) of another
+    block. KEYS, by block: the keys of its rows.
     """
-    n = shuffle_partitions(keyed.sparkSession)
     shift = max(6, (4 * n - 1).bit_length())
+    back, width = params.width - params.seed, 2 * params.width - params.seed
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, part, number = Powers(), TaskContext.get().partitionId(), 0
@@ -141,22 +159,36 @@ def repeated_anchors(keyed: DataFrame, params: DedupParams) -> DataFrame:
                 doc = np.repeat(np.arange(len(found), dtype=np.uint16), [len(p) for p, _, _ in found])
                 pos, h, around = (np.concatenate(x) for x in zip(*found, strict=True))
                 rk, ids = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+                sizes = np.diff(offsets)
                 order = np.lexsort((ids[doc], around, h))
                 h, around, doc, pos = h[order], around[order], doc[order], pos[order].astype(np.uint32)
                 start = pair_runs(h, around)
-                gone = ids[doc] > np.repeat(ids[doc][start], np.diff(np.append(start, len(h))))
-                out = [(block, DOCUMENTS, block, rk.tobytes(), np.diff(offsets).tobytes(), b"", b"", b"")]
+                first = np.repeat(start, np.diff(np.append(start, len(h))))
+                gone = ids[doc] > ids[doc][first]
+                for some in np.array_split(np.flatnonzero(gone), max(1, gone.sum() >> 16)):
+                    one, other = (surroundings(data, offsets[:-1][doc[i]], np.maximum(pos[i].astype(np.int64) - back, 0), np.minimum(pos[i].astype(np.int64) + params.width, sizes[doc[i]]), width) for i in (some, first[some]))
+                    gone[some] = (one == other).all(1)
+                out = [(block, DOCUMENTS, block, rk.tobytes(), sizes.tobytes(), b"", b"", b"")]
                 if gone.any():
                     out.append((block, COVERED, block, doc[gone].tobytes(), pos[gone].tobytes(), b"", b"", b""))
                 h, around, doc, pos = h[~gone], around[~gone], doc[~gone], pos[~gone]
+                start = runs(h)
+                many = np.diff(np.append(start, len(h)))
+                crowded = np.repeat(many > params.crowd, many)
                 bucket = (h >> U8(64 - shift)).astype(np.int64)
+                if crowded.any():
+                    out.append((block, HITS, block, h[crowded].tobytes(), doc[crowded].tobytes(), pos[crowded].tobytes(), np.ones(int(crowded.sum()), np.uint8).tobytes(), b""))
+                    known = start[many > params.crowd]
+                    out += [(b, CROWDED, block, x.tobytes(), b"", b"", b"", b"") for b, x in rows_of(bucket[known], h[known])]
+                    h, around, doc, pos, bucket = (x[~crowded] for x in (h, around, doc, pos, bucket))
                 ends = [*runs(bucket), len(h)]
                 out += [(int(bucket[i]), ANCHORS, block, planes(np.diff(h[i:j], prepend=U8(0))), around[i:j].tobytes(), planes(ids[doc[i:j]]), doc[i:j].tobytes(), pos[i:j].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
                 yield packed(out, BLOB_ARROW)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            out = [r for r in rows if r[1] != ANCHORS]
+            out = [r for r in rows if r[1] not in (ANCHORS, CROWDED)]
+            crowds = np.unique(joined_rows(rows, (CROWDED,), (3, U8))[0])
             rows = [r for r in rows if r[1] == ANCHORS]
             if rows:
                 parts = [np.cumsum(unplaned(r[3])) for r in rows]
@@ -166,41 +198,84 @@ def repeated_anchors(keyed: DataFrame, params: DedupParams) -> DataFrame:
                 order = np.lexsort((ids, around, h))
                 h, around, ids, doc, pos, block = (x[order] for x in (h, around, ids, doc, pos, block))
                 inner = pair_runs(h, around)
-                gone = ids > np.repeat(ids[inner], np.diff(np.append(inner, len(h))))
+                first = np.repeat(inner, np.diff(np.append(inner, len(h))))
+                gone = ids > ids[first]
                 start = runs(h)
                 length = np.diff(np.append(start, len(h)))
                 kinds = np.diff(np.append(np.searchsorted(inner, start), len(inner)))
-                left = np.repeat(kinds > 1, length) & ~gone
-                many = np.add.reduceat(left.astype(np.int64), start)
-                often = h[start[many > params.frequent]]
-                if len(often):
-                    out.append((-1, HITS, -1, often.tobytes(), b"", b"", b"", b""))
-                out += [(b, COVERED, b, d.tobytes(), p.tobytes(), b"", b"", b"") for b, d, p in rows_of(block[gone], doc[gone], pos[gone])]
-                out += [(b, HITS, b, x.tobytes(), d.tobytes(), p.tobytes(), b"", b"") for b, x, d, p in rows_of(block[left], h[left], doc[left], pos[left])]
+                crowded = np.isin(h[start], crowds)
+                left = np.repeat((kinds > 1) | crowded, length) & ~gone
+                apart = np.repeat(crowded | (np.add.reduceat(left.astype(np.int64), start) > params.frequent), length).astype(np.uint8)
+                of = first[gone]
+                out += [(b, MATCHES, b, *(x.tobytes() for x in columns)) for b, *columns in rows_of(block[gone], doc[gone], pos[gone], block[of], doc[of], pos[of])]
+                out += [(b, HITS, b, *(x.tobytes() for x in columns), b"") for b, *columns in rows_of(block[left], h[left], doc[left], pos[left], apart[left])]
             if out:
                 yield packed(out, BLOB_ARROW)
 
-    schema = pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "positions", "hashes"))])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), *((x, pa.binary()) for x in "abcde")])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in by_key(batches):
-            if block < 0:
-                yield packed([(None, b"", b"", b"", b"".join(r[3] for r in rows))], schema)
-                continue
             rk, size = (np.frombuffer(x, np.int64) for x in next(r[3:5] for r in rows if r[1] == DOCUMENTS))
-            both = [np.concatenate([np.frombuffer(r[k], t) for r in rows if r[1] == COVERED] or [np.zeros(0, t)]).astype(np.int64) for k, t in ((3, np.uint16), (4, np.uint32))]
-            doc, low, high = merged(both[0], np.maximum(both[1] - (params.width - params.seed), 0), np.minimum(both[1] + params.width, size[both[0]]))
-            h, at, pos = (np.concatenate([np.frombuffer(r[k], t) for r in rows if r[1] == HITS] or [np.zeros(0, t)]) for k, t in ((3, U8), (4, np.uint16), (5, np.uint32)))
+            doc, pos = (x.astype(np.int64) for x in joined_rows(rows, (COVERED,), (3, np.uint16), (4, np.uint32)))
+            doc, low, high = merged(doc, np.maximum(pos - back, 0), np.minimum(pos + params.width, size[doc]))
             covers = {d: (x.tobytes(), y.tobytes()) for d, x, y in rows_of(doc, low, high)}
-            hits = {d: (p.tobytes(), x.tobytes()) for d, p, x in rows_of(at.astype(np.int64), pos, h)}
-            yield packed([(int(rk[d]), *covers.get(d, (b"", b"")), *hits.get(d, (b"", b""))) for d in sorted({*covers, *hits})], schema)
+            h, at, pos, apart = joined_rows(rows, (HITS,), (3, U8), (4, np.uint16), (5, np.uint32), (6, np.uint8))
+            hits = {d: (p.tobytes(), x.tobytes(), f.tobytes()) for d, p, x, f in rows_of(at.astype(np.int64), pos, h, apart)}
+            out = [(TOLD, int(rk[d]), *covers.get(d, (b"", b"")), *hits.get(d, (b"", b"", b""))) for d in sorted({*covers, *hits})]
+            out.append((KEYS, block, rk.tobytes(), b"", b"", b"", b""))
+            doc, pos, other, its, there = (x.astype(np.int64) for x in joined_rows(rows, (MATCHES,), (3, np.uint16), (4, np.uint32), (5, np.int64), (6, np.uint16), (7, np.uint32)))
+            if len(doc):
+                low, start = np.maximum(pos - back, 0), np.maximum(there - back, 0)
+                high = np.minimum(pos + params.width, size[doc])
+                shifted = start - low
+                order = np.lexsort((shifted, its, other, doc))
+                group = np.zeros(len(doc), np.int64)  # matches of the same two rows at the same distance
+                group[order] = np.cumsum(np.any([np.append(True, x[order][1:] != x[order][:-1]) for x in (doc, other, its, shifted)], axis=0))
+                one = np.zeros(group.max() + 1, np.int64)
+                one[group] = np.arange(len(group))
+                group, low, high = merged(group, low, high)
+                i = one[group]
+                out += [(ASKED, b, *(x.tobytes() for x in columns)) for b, *columns in rows_of(other[i], its[i], low + shifted[i], high - low, rk[doc[i]], low)]
+            yield packed(out, schema)
 
     sent = keyed.mapInArrow(blocks, BLOB)
-    back = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, BLOB)
-    found = back.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(documents, "rk long, low binary, high binary, positions binary, hashes binary")
+    back_again = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, BLOB)
+    found = back_again.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(documents, "kind int, key long, a binary, b binary, c binary, d binary, e binary")
     return materialize(found, "dedup-anchors")
 
 
+BYTES = "bucket long, rk binary, low binary, size binary, bytes binary"
+BYTES_ARROW = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("rk", "low", "size", "bytes"))])
+
+
+def proposed(keyed: DataFrame, found: DataFrame, n: int, buckets: int, params: DedupParams) -> DataFrame:
+    """(bucket, rk, low, size, bytes): what should stand from byte low on in the rows of some keys if matches hold, packed by buckets of the keys."""
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            keys = next((np.frombuffer(r[2], np.int64) for r in rows if r[1] == KEYS))
+            who, *columns = joined_rows(rows, (ASKED,), *((k, np.int64) for k in range(2, 7)))
+            if len(who):
+                yield packed([(k, *(x.tobytes() for x in some)) for k, *some in rows_of(keys[who], *columns)], pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in "abcd")]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                start, size, rk, low = (np.frombuffer(c, np.int64) for c in columns)
+                for b, s, z, r, x in rows_of(np.mod(rk, buckets), start, size, rk, low):
+                    out.append((b, r.tobytes(), x.tobytes(), z.tobytes(), b"".join(data[i : i + k] for i, k in zip(s.tolist(), z.tolist(), strict=True))))
+            yield packed(out, BYTES_ARROW)
+
+    asked = found.where(F.col("kind").isin(ASKED, KEYS)).select("key", "kind", "a", "b", "c", "d", "e")
+    asked = asked.repartition(n, "key").sortWithinPartitions("key").mapInArrow(resolved, "rk long, a binary, b binary, c binary, d binary")
+    asked = materialize(asked, "dedup-asked")
+    texts = keyed.select("rk", "text").join(broadcast_if_small(asked.select("rk").distinct(), params.broadcast_keys), "rk", "left_semi").dropDuplicates(["rk"])
+    return texts.join(asked, "rk").select("text", "a", "b", "c", "d").mapInArrow(read, BYTES)
+
+
 def surroundings(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
     """Strings data[at + low : at + high] as rows of `width` bytes, padded on the right."""
     columns = np.arange(width)
@@ -219,13 +294,18 @@ def fingerprints(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def equal_rows(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each row, number of classes)."""
+def equal_rows(strings: np.ndarray) -> tuple[np.ndarray, int]:
+    """(class of each row, number of classes): rows of a class have the same bytes."""
     a, b = fingerprints(strings)
     order = np.lexsort((b, a))
     new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])) if len(a) else np.zeros(0, bool)
     out = np.zeros(len(a), np.int64)
     out[order] = np.cumsum(new) - 1
+    one = np.zeros(int(new.sum()), np.int64)
+    one[out] = np.arange(len(out))
+    if not all(np.array_equal(strings[i : i + 65536], strings[one[out[i : i + 65536]]]) for i in range(0, len(strings), 65536)):
+        _, out = np.unique(np.ascontiguousarray(strings).view(f"V{strings.shape[1]}").ravel(), return_inverse=True)
+        return out, int(out.max()) + 1
     return out, int(new.sum())
 
 
@@ -295,22 +375,21 @@ def merged(rk: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarra
 
 COVER = "bucket long, kind int, key binary, strings binary, doc binary, rk binary, low binary, high binary"
 COVER_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("key", "strings", "doc", "rk", "low", "high"))])
+STRINGS, INTERVALS, PROPOSED = range(3)
+RESULT = "rk long, low binary, high binary, at binary, size binary, bytes binary"
 
 
-def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: int, params: DedupParams) -> DataFrame:
-    """(rk, low, high): what goes of each document, as sorted intervals in packed arrays; known is what the anchors told."""
-    spark = keyed.sparkSession
+def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: int, buckets: int, params: DedupParams) -> DataFrame:
+    """(rk, low, high, at, size, bytes): sorted intervals that go from each row, and what goes if the bytes from `at` on are these; packed arrays. known is what the anchors told of rows."""
     width, reach = params.width, params.width - params.seed
     room = -(-(2 * width - params.seed) // 8) * 8
-    often = spark.sparkContext.broadcast(np.sort(frequent))
 
     def intervals(rk: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
         rk, low, high = merged(rk, low, high)
         for b, r, x, y in rows_of(np.mod(rk, buckets), rk, low, high):
-            yield (b, 1, b"", b"", b"", r.tobytes(), x.astype(np.int64).tobytes(), y.astype(np.int64).tobytes())
+            yield (b, INTERVALS, b"", b"", b"", r.tobytes(), x.astype(np.int64).tobytes(), y.astype(np.int64).tobytes())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = often.value
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 batch = whole.slice(lo, 1000)
@@ -320,10 +399,11 @@ def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: in
                 doc = np.repeat(np.arange(len(where)), [len(x) for x in where])
                 pos = np.concatenate(where)
                 h = np.concatenate([np.frombuffer(x, U8) for x in batch.column(4).to_pylist()])
+                apart = np.concatenate([np.frombuffer(x, np.uint8) for x in batch.column(5).to_pylist()]).astype(bool)
                 size = np.diff(offsets)[doc]
                 low, high = np.maximum(pos - reach, 0), np.minimum(pos + width, size)
-                if len(hot):
-                    apart = np.isin(h, hot)
+                windows = 0
+                if apart.any():
                     starts = [(np.flatnonzero(apart & (low + k + width <= high)), k) for k in range(reach + 1)]
                     at = np.concatenate([i for i, _ in starts])
                     first = np.concatenate([low[i] + k for i, k in starts])
@@ -333,7 +413,7 @@ def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: in
                     h = np.append(h[keep], np.zeros(windows, U8))
                 strings = surroundings(data, offsets[:-1][doc], low, high, room)
                 kind, n = equal_rows(strings)
-                if len(hot) and windows:
+                if windows:
                     h[-windows:] = fingerprints(strings[-windows:])[0]
                 least = np.full(n, np.iinfo(np.int64).max)
                 np.minimum.at(least, kind, ids[doc])
@@ -345,13 +425,13 @@ def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: in
                     k, r, x = kind[order], rks[doc[order]], low[order]
                     order = order[np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (x[1:] != x[:-1]))]
                 for b, i in rows_of((h[order] % U8(buckets)).astype(np.int64), order):
-                    out.append((b, 0, h[i].tobytes(), strings[i].tobytes(), ids[doc[i]].tobytes(), rks[doc[i]].tobytes(), low[i].tobytes(), high[i].tobytes()))
+                    out.append((b, STRINGS, h[i].tobytes(), strings[i].tobytes(), ids[doc[i]].tobytes(), rks[doc[i]].tobytes(), low[i].tobytes(), high[i].tobytes()))
                 yield packed(out, COVER_ARROW)
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            out = [r for r in rows if r[1] == 1]
-            rows = [r for r in rows if r[1] == 0]
+            out = [r for r in rows if r[1] == INTERVALS]
+            rows = [r for r in rows if r[1] == STRINGS]
             if rows:
                 key, strings, ids, rk, low, high = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((2, U8), (3, np.uint8), (4, np.int64), (5, np.int64), (6, np.int64), (7, np.int64)))
                 strings = strings.reshape(-1, room)
@@ -388,22 +468,30 @@ def covers(keyed: DataFrame, known: DataFrame, frequent: np.ndarray, buckets: in
             if out:
                 yield packed(out, COVER_ARROW)
 
+    schema = pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "at", "size", "bytes"))])
+
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            rk, low, high = merged(*(np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (5, 6, 7)))
-            yield packed([(k, x.tobytes(), y.tobytes()) for k, x, y in rows_of(rk, low, high)], pa.schema([("rk", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]))
+            rk, low, high = merged(*joined_rows(rows, (INTERVALS,), *((k, np.int64) for k in (5, 6, 7))))
+            sure = {k: (x.tobytes(), y.tobytes()) for k, x, y in rows_of(rk, low, high)}
+            rk, at, size = joined_rows(rows, (PROPOSED,), *((k, np.int64) for k in (5, 6, 7)))
+            texts = b"".join(r[3] for r in rows if r[1] == PROPOSED)
+            end = np.cumsum(size)
+            if_equal = {k: (x.tobytes(), z.tobytes(), b"".join(texts[e - c : e] for e, c in zip(y.tolist(), z.tolist(), strict=True))) for k, x, y, z in rows_of(rk, at, end, size)}
+            yield packed([(k, *sure.get(k, (b"", b"")), *if_equal.get(k, (b"", b"", b""))) for k in sorted({*sure, *if_equal})], schema)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(rk % buckets, 1, b"", b"", b"", np.full(len(low) // 8, rk, np.int64).tobytes(), low, high) for rk, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            out = [(rk % buckets, INTERVALS, b"", b"", b"", np.full(len(low) // 8, rk, np.int64).tobytes(), low, high) for rk, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield packed(out, COVER_ARROW)
 
-    n = shuffle_partitions(spark)
-    hits = known.where(F.octet_length("positions") > 0).select("rk", "positions", "hashes")
-    rows = keyed.join(hits, "rk").select("rk", "id", "text", "positions", "hashes").mapInArrow(blocks, COVER)
+    hits = known.where(F.octet_length("positions") > 0).select("rk", "positions", "hashes", "apart")
+    rows = keyed.join(hits, "rk").select("rk", "id", "text", "positions", "hashes", "apart").mapInArrow(blocks, COVER)
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(resolved, COVER)
     rows = rows.unionByName(known.where(F.octet_length("low") > 0).select("rk", "low", "high").mapInArrow(told, COVER))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(together, "rk long, low binary, high binary")
+    none = F.lit(b"")
+    rows = rows.unionByName(bytes_of_others.select("bucket", F.lit(PROPOSED).alias("kind"), none.alias("key"), F.col("bytes").alias("strings"), none.alias("doc"), "rk", "low", F.col("size").alias("high")))
+    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(together, RESULT)
     return materialize(rows, "dedup-covers")
 
 
@@ -413,24 +501,38 @@ def row_key() -> Column:
 
 
 def covered(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """docs with low and high: sorted intervals of bytes to remove, as packed int64 arrays (null: none)."""
-    spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
+    """docs with what goes of each row, as removed() reads it: low, high, at, size, bytes (null: nothing)."""
     keyed = docs.select(row_key().alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_or_empty().alias("text"))
+    n = partitions_for(keyed, "text")
+    buckets = 2 * n
     long_enough = keyed.where(F.octet_length("text") >= params.width)
-    found = repeated_anchors(long_enough, params)
-    often = [np.frombuffer(r["hashes"], U8) for r in found.where("rk is null").select("hashes").collect()]  # fewer than anchors / params.frequent
-    known = found.where("rk is not null").groupBy("rk").agg(*[F.first(c).alias(c) for c in ("low", "high", "positions", "hashes")])  # rows that repeat
+    found = repeated_anchors(long_enough, n, params)
+    names = {"low": "a", "high": "b", "positions": "c", "hashes": "d", "apart": "e"}
+    known = found.where(F.col("kind") == TOLD).groupBy(F.col("key").alias("rk")).agg(*[F.first(c).alias(name) for name, c in names.items()])  # rows that repeat
     known = materialize(known, "dedup-known")
-    cover = covers(long_enough, known, np.unique(np.concatenate(often)) if often else np.zeros(0, U8), buckets, params)
+    cover = covers(long_enough, known, proposed(long_enough, found, n, buckets, params), n, buckets, params)
     return docs.withColumn("_lw_rk", row_key()).join(cover.withColumnRenamed("rk", "_lw_rk"), "_lw_rk", "left").drop("_lw_rk")
 
 
+def removed(data: bytes, low: bytes | None, high: bytes | None, at: bytes | None, size: bytes | None, expected: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted intervals to remove: the sure ones, and those whose bytes are as expected."""
+    low, high, at, size = (np.frombuffer(x or b"", np.int64) for x in (low, high, at, size))
+    end = np.cumsum(size)
+    equal = [data[i : i + k] == expected[e - k : e] for i, k, e in zip(at.tolist(), size.tolist(), end.tolist(), strict=True)]
+    at, size = at[equal], size[equal]
+    both = np.append(low, at), np.append(high, at + size)
+    return merged(np.zeros(len(both[0]), np.int64), *both)[1:]
+
+
+WHAT = ("low", "high", "at", "size", "bytes")
+
+
 def remaining(data: bytes, low: np.ndarray, high: np.ndarray) -> bytes:
     cuts = [0, *np.column_stack((low, high)).ravel().tolist(), len(data)]
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
+@tidy
 def digest(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """What op8 returns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -438,26 +540,25 @@ def digest(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, low, high in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, *what in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
                 data = (text or "").encode()
-                a, b = (np.frombuffer(x or b"", np.int64) for x in (low, high))
+                a, b = removed(data, *what)
                 rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(remaining(data, a, b)).hexdigest()))
             out = packed(rows, schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *out.columns], names=["doc_id", *schema.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return covered(docs.select("doc_id", "text"), params).select("doc_id", "text", "low", "high").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return covered(docs.select("doc_id", "text"), params).select("doc_id", "text", *WHAT).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@tidy
 def remove_repeats(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """docs with their texts without the repeats; bytes of a letter that was cut go with it. Other columns are unchanged."""
 
     @F.pandas_udf("string")
-    def cut(text, low, high):
-        import pandas as pd
-
-        return pd.Series([None if t is None else remaining(t.encode(), *(np.frombuffer(x or b"", np.int64) for x in (a, b))).decode(errors="ignore") for t, a, b in zip(text, low, high, strict=True)])
+    def cut(text: pd.Series, low: pd.Series, high: pd.Series, at: pd.Series, size: pd.Series, expected: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else remaining(t.encode(), *removed(t.encode(), *what)).decode(errors="ignore") for t, *what in zip(text, low, high, at, size, expected, strict=True)])
 
     renamed = covered(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_lw_all")), params)
-    out = renamed.withColumn("_lw_cut", cut("text", "low", "high"))
+    out = renamed.withColumn("_lw_cut", cut("text", *WHAT))
     return out.select(*[F.col("_lw_cut").alias("text") if c == "text" else F.col(f"_lw_all.{c}").alias(c) for c in docs.columns])

@@ -37,6 +37,7 @@ from .common import tidy
 VOCABULARY, LIMIT = "word_bpe_49k", 2048
 #: Entries of a worker's memory of words; it is cleared when full.
 REMEMBERED = 600_000
+SHORT = (2, 1)
 #: Letters of words that share the states of their common prefixes.
 SHARED = 64
 #: White space for the vocabulary's pattern.
@@ -108,7 +109,9 @@ class PrefixBpe:
         self.alone: dict[tuple, bool] = {}
         self.cuts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.inner_lengths, self.final_lengths = self.by_ending(self.inner), self.by_ending(self.final)
-        self.states: dict[str, tuple[str, int, bytes]] = {"": ("", 0, b"")}
+        #: Of beginnings of words: the tokens of each prefix as a word, and the state as an open prefix, if a longer one needed it.
+        self.ended: dict[str, bytes] = {"": b""}
+        self.opened: dict[str, tuple[str, int]] = {"": ("", 0)}
         self.runs = Remembered(self.of_run)
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -158,66 +161,76 @@ class PrefixBpe:
         return known
 
     @staticmethod
-    def by_ending(tokens: set[str]) -> dict[str, list[int]]:
-        """Lengths, longest first, of the tokens of three letters and more that have an ending of three."""
+    def by_ending(tokens: set[str]) -> dict[str, tuple[int, ...]]:
+        """Lengths, longest first, of the tokens with an ending of three letters; tokens of two and one come last with every ending."""
         found: dict[str, set[int]] = {}
         for t in tokens:
             if len(t) > 2:
                 found.setdefault(t[-3:], set()).add(len(t))
-        return {e: sorted(n, reverse=True) for e, n in found.items()}
-
-    def fitting(self, word: str, j: int, tokens: set[str], lengths: dict[str, list[int]]) -> Iterator[tuple[int, str]]:
-        """(start, token) of the tokens that word[:j] ends with, longest first."""
-        for n in lengths.get(word[j - 3 : j], ()) if j > 2 else ():
-            if n <= j and (t := word[j - n : j]) in tokens:
-                yield j - n, t
-        for n in (2, 1):
-            if n <= j and (t := word[j - n : j]) in tokens:
-                yield j - n, t
-
-    def close(self, word: str, j: int, last, counts) -> int:
+        return {e: (*sorted(n, reverse=True), *SHORT) for e, n in found.items()}
+
+    def close(self, word: str, j: int, state) -> int:
         """Tokens of word[:j] as a whole word, from the states (last token and count) of shorter open prefixes."""
-        for i, t in self.fitting(word, j, self.final, self.final_lengths):
-            if self.compatible(last(i), t, END) if last(i) else self.own(t, END):
-                return counts(i) + 1
+        for n in self.final_lengths.get(word[j - 3 : j], SHORT) if j > 2 else SHORT:
+            if n <= j and (t := word[j - n : j]) in self.final:
+                if n == j:
+                    if self.own(t, END):
+                        return 1
+                    continue
+                last, count = state(j - n)
+                if (known := self.pairs.get((last, t, END))) or known is None and self.compatible(last, t, END):
+                    return count + 1
         return 0
 
-    def open(self, word: str, j: int, last, counts) -> tuple[str, int]:
+    def open(self, word: str, j: int, state) -> tuple[str, int]:
         """The state of the open prefix word[:j], from those of shorter ones."""
-        for i, t in self.fitting(word, j, self.inner, self.inner_lengths):
-            if self.compatible(last(i), t, "") if last(i) else self.own(t, ""):
-                return t, counts(i) + 1
+        for n in self.inner_lengths.get(word[j - 3 : j], SHORT) if j > 2 else SHORT:
+            if n <= j and (t := word[j - n : j]) in self.inner:
+                if n == j:
+                    if self.own(t, ""):
+                        return t, 1
+                    continue
+                last, count = state(j - n)
+                if (known := self.pairs.get((last, t, ""))) or known is None and self.compatible(last, t, ""):
+                    return t, count + 1
         return "", 0
 
-    def extend(self, word: str, last: list[str], counts: list[int], closed: list[int] | None = None) -> None:
+    def extend(self, word: str, states: list[tuple[str, int]], closed: list[int] | None = None) -> None:
         """Carry the states to the end of a word in byte letters; closed gets the counts of the prefixes as words."""
-        for j in range(len(last), len(word) + 1):
+        for j in range(len(states), len(word) + 1):
             if closed is not None:
-                closed.append(self.close(word, j, last.__getitem__, counts.__getitem__))
-            token, n = self.open(word, j, last.__getitem__, counts.__getitem__)
-            last.append(token)
-            counts.append(n)
+                closed.append(self.close(word, j, states.__getitem__))
+            states.append(self.open(word, j, states.__getitem__))
 
     def ends(self, word: str) -> bytes | list[int]:
-        """Tokens of each prefix of a word as a word. Short words share the states of the prefixes they have in common."""
+        """Tokens of each prefix of a word as a word. Short words share what their common prefixes have."""
         if len(word) > SHARED:
             out: list[int] = []
-            self.extend(word, [""], [0], out)
+            self.extend(word, [("", 0)], out)
             return out
-        states = self.states
-        if len(states) > REMEMBERED:
-            states.clear()
-            states[""] = ("", 0, b"")
+        ended, opened = self.ended, self.opened
+        if len(ended) > REMEMBERED:
+            ended.clear()
+            opened.clear()
+            ended[""], opened[""] = b"", ("", 0)
         j = len(word)
-        while (known := states.get(word[:j])) is None:
+        while (known := ended.get(word[:j])) is None:
             j -= 1
-        last, counts = (lambda i: states[word[:i]][0]), (lambda i: states[word[:i]][1])
+        if j == len(word):
+            return known
+        state = lambda i: opened[word[:i]]
+        if (key := word[:j]) not in opened:  # a word so far, now the beginning of a longer one
+            opened[key] = self.open(word, j, state)
         for j in range(j + 1, len(word) + 1):
-            end = self.close(word, j, last, counts)
-            known = states[word[:j]] = (*self.open(word, j, last, counts), known[2] + bytes((end,)))
-        return known[2]
+            key = word[:j]
+            known = ended[key] = known + bytes((self.close(word, j, state),))
+            if j < len(word):
+                opened[key] = self.open(word, j, state)
+        return known
 
     def spelled(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece
         return "".join(map(self.letters.__getitem__, piece.encode()))
 
     def of_piece(self, piece: str) -> bytes | list[int]:
@@ -235,11 +248,12 @@ class PrefixBpe:
 
     def of_run(self, run: str) -> bytes | tuple[int, ...]:
         """Tokens of each prefix of a run without white space, the empty one left out: as bytes, if they fit."""
+        if run.isalpha():  # one piece
+            inner = self.closed(run)
+            return inner if type(inner) is bytes else tuple(inner)
         out: list[int] = []
         done = 0
         for m in self.pattern.finditer(run):
-            if m.end() - m.start() == len(run) and type(inner := self.of_piece(run)) is bytes:
-                return inner
             out += [done] * (m.start() - len(out))
             inner = self.of_piece(m[0])
             out += [done + n for n in inner] if done else inner
@@ -324,24 +338,26 @@ class OpenPiece:
 
     def __init__(self, bpe: PrefixBpe, plain: str, start: int) -> None:
         self.bpe, self.plain, self.start, self.upto = bpe, plain, start, start
-        self.word, self.last, self.counts = "", [""], [0]
+        self.word, self.states = "", [("", 0)]
 
     def ended(self, p: int, tail: str) -> int:
-        """Tokens of plain[start:p] + tail, for growing p."""
+        """Tokens of plain[start:p] + tail, for growing p. The last letters of the piece and their states are enough."""
         bpe, head = self.bpe, self.plain[max(self.start, p - 2) : p]
         if p - self.start <= 2:
             return sum(bpe.of_piece(x)[-1] for x in bpe.pattern.findall(head + tail))
         new, self.upto = bpe.spelled(self.plain[self.upto : p]), p
-        window = self.word[-bpe.longest :] + new
-        low = len(window) - len(new)
-        last, counts = self.last[-low - 1 :], self.counts[-low - 1 :]
-        bpe.extend(window, last, counts)
-        self.word, self.last, self.counts = window[-2 * bpe.longest :], last[-2 * bpe.longest - 1 :], counts[-2 * bpe.longest - 1 :]
+        self.word += new
+        self.extend(self.word, self.states)
+        keep = 2 * bpe.longest
+        if len(self.word) > 4 * keep:  # a token that ends from here on cannot begin before what stays
+            self.word, self.states = self.word[-keep:], self.states[-keep - 1 :]
         first, *rest = bpe.pattern.findall(head + tail)  # the piece goes on as far as the first
-        more = bpe.spelled(first[len(head) :])
-        word, last, counts = self.word + more, list(self.last), list(self.counts)
-        bpe.extend(word[:-1], last, counts)
-        return bpe.close(word, len(word), last.__getitem__, counts.__getitem__) + sum(bpe.of_piece(x)[-1] for x in rest)
+        word, states = self.word + bpe.spelled(first[len(head) :]), list(self.states)
+        self.extend(word[:-1], states)
+        return bpe.close(word, len(word), states.__getitem__) + sum(bpe.of_piece(x)[-1] for x in rest)
+
+    def extend(self, word: str, states: list[tuple[str, int]]) -> None:
+        self.bpe.extend(word, states)
 
 
 @functools.cache

@@ -5,12 +5,13 @@ its first four, five and six letters); features of few documents have no weight.
 is their noisy-or, 1 - product of (1 - p). The weights are trained through the noisy-or on document
 labels alone; the sentence scores then locate what is offensive.
 
-The training sample is bounded (TRAIN_ROWS of either label, of at most TRAIN_CHARS characters each); it
-is drawn in the order of md5(doc_id), so the same table gives the same model. Every text is scored
-whole. Labels, language, source and id are inputs to no score.
+The training sample is bounded (TRAIN_ROWS rows of either label, of whole texts); it is drawn in the order
+of md5(doc_id), so the same table gives the same model. Executors hash the features of its sentences; the
+driver gets their numbers. Every text is scored whole. Labels, language, source and id are inputs to no score.
 
 Defined cases: null, empty and wordless texts score as one empty sentence; repeated rows score alike;
-without labels of both kinds every score is 0; an empty table gives no rows.
+an id with several texts trains with that of the least md5, one with several labels counts as toxic if any
+says so, null ids do not train; without labels of both kinds every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows of each label, at most, in the training sample, and characters of each.
-TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
+#: Labelled rows of each label, at most, in the training sample.
+TRAIN_ROWS = 2500
 FEATURES, EPOCHS, RATE, DECAY, LEAST_ROWS = 1 << 20, 60, 0.1, 5e-4, 5
 #: Weights start as this part of the log odds, a sentence without evidence at this logit.
 START, BIAS = 0.8, -10.0
@@ -46,35 +47,42 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found or [(0, len(text), [])]
 
 
-def train(rows: list[tuple[str, int]]) -> np.ndarray:
-    """Weights of the features, then the bias, from (text, label) rows.
+def bag(text: str, known: dict[str, list[int]]) -> tuple[bytes, bytes]:
+    """A text's sentences for training: how many features each has, and the features, as packed int32 arrays."""
+    sizes, feats = [], []
+    for _, _, words in sentences(text):
+        before = len(feats)
+        for w in words:
+            if (f := known.get(w)) is None:
+                f = known[w] = features(w)
+            feats += f
+        sizes.append(len(feats) - before)
+    return np.array(sizes, np.int32).tobytes(), np.array(feats, np.int32).tobytes()
+
+
+def train(bags: list[tuple[bytes, bytes]], labels: list[int], start: float = START, bias: float = BIAS) -> np.ndarray:
+    """Weights of the features, then the bias, from the bags of texts and their labels.
 
     Starts at the features' log odds over documents, then descends the noisy-or's log loss; log
     (1 - p) of a document is minus the sum of its sentences' softplus.
     """
     weights = np.zeros(FEATURES + 1)
-    labels = np.array([y for _, y in rows], float)
+    labels = np.array(labels, float)
+    rows = bags
     if not len(rows) or labels.min() == labels.max():
         weights[-1] = -np.inf
         return weights
-    known: dict[str, list[int]] = {}
-    feats, sent_of, doc_of = [], [], []
-    for d, (text, _) in enumerate(rows):
-        for _, _, words in sentences(text):
-            for w in words:
-                if (f := known.get(w)) is None:
-                    f = known[w] = features(w)
-                feats += f
-                sent_of += [len(doc_of)] * len(f)
-            doc_of.append(d)
-    feats, sent_of, doc_of = np.array(feats, np.int32), np.array(sent_of, np.int32), np.array(doc_of, np.int32)
+    sizes = [np.frombuffer(s, np.int32) for s, _ in bags]
+    feats = np.concatenate([np.frombuffer(f, np.int32) for _, f in bags])
+    doc_of = np.repeat(np.arange(len(bags), dtype=np.int32), [len(s) for s in sizes])
+    sent_of = np.repeat(np.arange(len(doc_of), dtype=np.int32), np.concatenate(sizes))
     seen = np.unique(feats.astype(np.int64) * len(rows) + doc_of[sent_of])  # (feature, document) pairs
     of, doc = seen // len(rows), seen % len(rows)
     hot = np.bincount(of, labels[doc], FEATURES)
     cold = np.bincount(of, 1 - labels[doc], FEATURES)
     used = np.append(hot + cold >= LEAST_ROWS, True)
-    weights[:-1] = START * np.clip(np.log((hot + 0.5) / (labels.sum() + 1)) - np.log((cold + 0.5) / ((1 - labels).sum() + 1)), -1, 4) * used[:-1]
-    weights[-1] = BIAS
+    weights[:-1] = start * np.clip(np.log((hot + 0.5) / (labels.sum() + 1)) - np.log((cold + 0.5) / ((1 - labels).sum() + 1)), -1, 4) * used[:-1]
+    weights[-1] = bias
     sums = np.full(FEATURES + 1, 1e-8)
     n_sent = len(doc_of)
     for _ in range(EPOCHS):
@@ -94,14 +102,24 @@ def train(rows: list[tuple[str, int]]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> np.ndarray:
     """Weights from labelled documents where fold holds (all if None)."""
-    lab = labels.where("toxic in (0, 1)").select(F.col("doc_id"), F.col("toxic").cast("int").alias("_y")).dropDuplicates(["doc_id"])
+    lab = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_lw_y"))
     if fold is not None:
         lab = lab.where(fold)
     order = F.md5(F.col("doc_id").cast("string"))
-    chosen = [lab.where(F.col("_y") == y).orderBy(order, "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
+    chosen = [lab.where(F.col("_lw_y") == y).orderBy(order, "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
     both = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * TRAIN_ROWS rows
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text")).join(both, "doc_id").dropDuplicates(["doc_id"]).collect()
-    return train([(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(both, "doc_id")
+    rows = rows.groupBy("doc_id", "_lw_y").agg(F.min_by("text", F.md5("text")).alias("text"))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            sizes, feats = zip(*(bag(t.as_py(), known) for t in batch.column(2)), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], names=["id", "y", "sizes", "feats"])
+
+    rows = rows.select("doc_id", "_lw_y", "text").mapInArrow(bags, "id string, y int, sizes binary, feats binary").collect()
+    rows.sort(key=lambda r: r["id"])
+    return train([(r["sizes"], r["feats"]) for r in rows], [r["y"] for r in rows])
 
 
 def score(docs: DataFrame, weights: np.ndarray, locate: bool = False, least: float = 0.3) -> DataFrame:

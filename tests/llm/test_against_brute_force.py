@@ -182,7 +182,7 @@ def test_stored_prefixes_answer_budgets(spark):
 def test_packing(spark, docs, none):
     import numpy as np
 
-    _, library = packing.encoders(packing.VOCABULARY)
+    library = packing.encoder(packing.VOCABULARY)
     texts = samples() + ["word " * k for k in (10, 500, 682, 700, 1024, 2046, 2047, 2048, 2049, 5000)] + [None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     packed = defaultdict(list)
@@ -234,6 +234,24 @@ def test_runs_fill_sequences():
             assert sum(3 * length > cap for _, length in content) <= 2
 
 
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    import bisect
+
+    gaps: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        bisect.insort(gaps, gap - x)
+    return len(gaps)
+
+
+def test_as_few_sequences_as_best_fit(spark, data):
+    rows = packing.digest(spark.read.parquet(f"{data}/documents.parquet")).select("length", "sequence_id").collect()
+    lengths = [r["length"] for r in rows]
+    used = len({r["sequence_id"] for r in rows})
+    assert -(-sum(lengths) // 2048) <= used <= best_fit_decreasing(lengths, 2048)
+
+
 # toxicity, shards -------------------------------------------------------------------------------
 
 
@@ -261,6 +279,27 @@ def test_toxicity_learns_sentences(spark, none):
     assert {r["predicted"] for r in toxicity.digest(docs, lab.limit(0)).collect()} == {0}
 
 
+def test_toxicity_of_long_and_repeated_rows(spark):
+    """A toxic sentence far behind the start of a text trains; repeated ids with contradicting labels give the same scores however rows are dealt."""
+    rng = random.Random(2)
+    plain = lambda n: ". ".join(" ".join(f"plain{rng.randrange(300)}" for _ in range(8)) for _ in range(n))
+    rows = [(i, plain(500 if i % 2 else 4) + (". You vilest thing" if i % 2 else "")) for i in range(60)]
+    labels = [(i, int(i % 2)) for i in range(60)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights = toxicity.fit(docs, lab)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame([(1, "you vilest thing"), (2, "plain1 plain2 plain3")], "doc_id long, text string"), weights).collect()}
+    assert got[1] > 0.5 > got[2]
+    rows += [(i % 60, f"{t} again {i}") for i, (_, t) in enumerate(rows[:20])] + [(3, None), (None, "x")]
+    labels += [(i, 1 - i % 2) for i in range(20)] + [(None, 1), (5, None)]
+    found = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        lab = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts)
+        clash = docs.withColumns({c: docs["doc_id"] for c in ("label", "toxic", "_y", "score")})
+        found.append(rows_of(toxicity.digest(clash, lab)))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_shards(docs, none, tmp_path):
     got = sharding.digest(docs).collect()
     n = docs.count()

@@ -34,9 +34,36 @@ def test_vectors(spark):
     want = of_duckdb(embed_dedup.oracle(), {"embeddings": df})
     assert of_spark(embed_dedup.digest(df)) == want
     assert of_spark(embed_dedup.link_vectors(df, embed_dedup.EmbedParams(block=3))) == want
+    clash = df.withColumns({c: df["vec_id"] for c in ("id", "n", "unit", "code", "component_id")})
+    assert of_spark(embed_dedup.link_vectors(clash, embed_dedup.EmbedParams(block=7, rows=4))) == want
     assert embed_dedup.digest(df.limit(0)).count() == 0
 
 
+def test_vectors_without_id(spark):
+    """A null id never names a class that has an id; a class without ids is kept whole."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a, 1), (4, a, 1), (9, [1.0, 0.01, 0.0], 1), (None, b, 1), (None, [0.01, 1.0, 0.0], 1), (None, c, 1), (None, None, 1), (2, c, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.digest(df).collect()), key=str)
+    assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (9, 2, 4, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True), (2, 0, 2, True)], key=str)
+
+
+def test_dense_family_of_vectors(spark):
+    """Many near copies in blocks smaller than their buckets: counts and classes as by all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3, 32))
+    x = np.repeat(base, (300, 40, 5), axis=0) + rng.normal(size=(345, 32)) * 0.11
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for block in (16, 2048):
+        got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df, embed_dedup.EmbedParams(block=block, rows=8)).collect()}
+        found, all_links = sum(got.values()), int(close.sum()) - len(x)
+        assert all(got[i] <= close[i].sum() - 1 for i in got) and found >= 0.99 * all_links
+
+
 def test_recall_of_hashing(spark):
     """Random pairs at the threshold, where hashes collide least."""
     import numpy as np
@@ -92,6 +119,23 @@ def test_mixed_rows(docs):
     assert sorted(map(tuple, mixing.digest(docs).select("doc_id", "taken").collect()), key=str) == sorted(map(tuple, plan.select("doc_id", "taken").collect()), key=str)
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 3])
+def test_mixing_with_other_parameters(docs, repeats):
+    params = mixing.MixParams(share=0.9 * repeats, max_repeats=repeats, fine_from=1)
+    plan = mixing.plan_mix(docs, params).collect()
+    coarse = mixing.plan_mix(docs, mixing.MixParams(share=0.9 * repeats, max_repeats=repeats)).collect()
+    assert sorted(map(tuple, plan), key=str) == sorted(map(tuple, coarse), key=str)
+    for source in {r["source"] for r in plan}:
+        rows = [r for r in plan if r["source"] == source]
+        assert all(r["taken"] <= repeats * r["size"] for r in rows)
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1
+    mixed = mixing.mix_documents(docs, params)
+    assert mixed.columns == docs.columns
+    whole = {r["doc_id"] for r in plan if r["size"] and r["taken"] == repeats * r["size"]}
+    times = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert all(times[i] >= repeats for i in whole)
+
+
 def test_chain_of_links(spark):
     """A family of near copies, each linked with its neighbours only: one class, whichever pairs are verified."""
     words = [f"w{i}" for i in range(400)]
