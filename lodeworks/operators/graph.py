@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import broadcast_if_small, materialize
 from .components import components
-from .similarity import overlaps
 
 #: Edges up to which a graph counts as small: its adjacency may go to each task, or its splitting to the driver.
 SMALL_EDGES = 200_000
@@ -20,9 +19,23 @@ EXACT = 9
 
 
 def shared_edges(pairs: DataFrame, user: str, business: str, least: int = 7) -> DataFrame:
-    """(a, b), a < b, of users with at least so many businesses in common; users without an edge are not in the graph."""
+    """(a, b), a < b, of users with at least so many businesses in common; users without an edge are not in the graph.
+
+    With businesses in one order, rare before frequent, two such users share one of their first
+    n - least + 1 already: only these are joined, so a business of many users makes pairs for few of
+    them, and the pairs are counted from whole sets.
+    """
     members = pairs.select(F.col(user).alias("id"), F.col(business).alias("idx")).distinct()
-    return overlaps(members).where(F.col("common") >= least).select("a", "b")
+    members = materialize(members, "members")
+    frequency = members.groupBy("idx").agg(F.count("*").alias("df"))
+    ordered = members.join(broadcast_if_small(frequency), "idx").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "idx"))).alias("o"))
+    ordered = ordered.where(F.size("o") >= least).select("id", F.transform("o", lambda x: x["idx"]).alias("items"))
+    ordered = materialize(ordered, "ordered")
+    first = ordered.select("id", F.explode(F.slice("items", F.lit(1), F.size("items") - (least - 1))).alias("idx"))
+    found = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "idx").where("a < b").select("a", "b").distinct()
+    whole = lambda x: ordered.select(F.col("id").alias(x), F.col("items").alias(f"of_{x}"))
+    both = found.join(whole("a"), "a").join(whole("b"), "b")
+    return both.where(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -78,9 +91,9 @@ def betweenness(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     Roots are dealt out; a graph of few edges, after a count, goes to each task, and a task returns one
     sum for each edge. Larger graphs are searched by joins, one level at a time for all roots.
     """
-    rows = edges.limit(small + 1).collect() if edges.limit(small + 1).count() <= small else None
-    if rows is None:
+    if edges.limit(small + 1).count() > small:
         return betweenness_by_joins(edges)
+    rows = edges.select("a", "b").collect()  # at most `small`
     spark = edges.sparkSession
     adjacency: dict = {}
     for r in rows:

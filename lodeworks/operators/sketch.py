@@ -43,6 +43,11 @@ def estimate(r: Column) -> Column:
 
 def windowed_counts(events: DataFrame, window: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
     """(window_start, truth, estimate) of (ts, city): exact and estimated distinct cities of each sliding window; batch or stream."""
-    rows = events.where("city is not null and city <> ''").select("ts", "city", zeros(F.col("city")).alias("z"))
-    each = rows.groupBy(F.window("ts", window, slide).alias("w")).agg(F.size(F.collect_set("city")).cast("long").alias("truth"), F.array(*[F.max(F.get("z", F.lit(k))) for k in range(len(FM_HASHES))]).alias("r"))
+    named, most = events.where("city is not null and city <> ''"), F.array(*[F.max(F.get("z", F.lit(k))) for k in range(len(FM_HASHES))]).alias("r")
+    span = F.window("ts", window, slide).alias("w")
+    if events.isStreaming:  # one stateful aggregation; its sets leave the state with their windows
+        each = named.withColumn("z", zeros(F.col("city"))).groupBy(span).agg(F.size(F.collect_set("city")).cast("long").alias("truth"), most)
+    else:
+        cities = named.select(span, "city").distinct()
+        each = cities.withColumn("z", zeros(F.col("city"))).groupBy("w").agg(F.count("*").alias("truth"), most)
     return each.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "truth", estimate(F.col("r")).alias("estimate"))

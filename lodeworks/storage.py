@@ -78,7 +78,7 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count finds it small; else as it is, for a shuffled join that AQE may split."""
+    """df (of narrow rows) with a broadcast hint if a count finds it small; else as it is, for a shuffled join that AQE may split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -86,6 +86,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, column: str, megabytes: int = 64) -> int:
+    """Partitions to deal out what is made of a string column: by its counted bytes, and at least as many as the session shuffles to."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-total // (megabytes << 20)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
