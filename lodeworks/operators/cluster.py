@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, new_path, track
 
 ALPHA, CLUSTERS, SEED = 3.0, 10, 666
 #: Least standard deviation, so that a dimension without spread divides by no zero.
@@ -94,9 +94,18 @@ class State:
     discard: dict[str, Summary] = field(default_factory=dict)
     compressed: dict[str, Summary] = field(default_factory=dict)
     retained: DataFrame | None = None
-    placed: list[DataFrame] = field(default_factory=list)  # (point_id, cluster): number of the discard cluster, or -1
+    #: Folder of (point_id, cluster), the points of the discard clusters, a part for each round: a round that is run again writes the same.
+    placed: str | None = None
     rounds: list[tuple] = field(default_factory=list)
 
+    def place(self, points: DataFrame, number: int) -> None:
+        self.placed = self.placed or track(new_path(points.sparkSession, "placed"))
+        points.select("point_id", "cluster").write.mode("overwrite").parquet(f"{self.placed}/round={number}")
+
+    def counts(self, number: int) -> tuple:
+        points = [sum(s.n for s in sets.values()) for sets in (self.discard, self.compressed)]
+        return number, len(self.discard), points[0], len(self.compressed), points[1], self.retained.count()
+
 
 def reach(summary: Summary, centre: list[float]) -> tuple[float, bool]:
     """Distance of a point by a summary's standard deviations, and whether it is below alpha * sqrt(d)."""
@@ -139,53 +148,66 @@ def merge_compressed(sets: dict[str, Summary]) -> dict[str, Summary]:
     return out
 
 
-def bfr(chunks: list[DataFrame], k: int = CLUSTERS, first_points: int = 10_000) -> State:
-    """The state after all chunks of (point_id, features): the first opens the sets, the others are absorbed, at last compressed clusters join discard ones."""
-    state = State()
-    for number, chunk in enumerate(chunks):
-        chunk = materialize(chunk.select("point_id", "features"), "chunk")
-        if not number:
-            n = chunk.count()
-            head_n = first_points if n > first_points else -(-n // 10)
-            head = chunk.orderBy("point_id").limit(head_n)
-            head = materialize(head, "head")
-            rest = chunk.join(head.select("point_id"), "point_id", "left_anti")
-            placed, sums = kmeans(head, k)
-            state.discard = {f"D{int(key):04d}": s for key, s in sums.items()}
-            state.placed.append(placed.select("point_id", F.concat(F.lit("D"), "cluster").alias("cluster")))
-            groups, sums = kmeans(rest, 3 * k, 3)
-            _, alone, sums = separate(groups, sums)
-            state.compressed = {f"R0C{key}": s for key, s in sums.items()}
-            state.retained = materialize(alone, "retained")
-        else:
-            near, rest = absorbed(chunk, state.discard)
-            added(state.discard, summaries(near))
-            state.placed.append(near.select("point_id", "cluster"))
-            near, rest = absorbed(rest, state.compressed)
-            added(state.compressed, summaries(near))
-            state.retained = materialize(state.retained.unionByName(rest), "retained")
-            groups, sums = kmeans(state.retained, 3 * k, 5)
-            _, alone, sums = separate(groups, sums)
-            added(state.compressed, {f"R{number}C{key}": s for key, s in sums.items()})
-            state.retained = materialize(alone, "retained")
-            state.compressed = merge_compressed(state.compressed)
-        if number == len(chunks) - 1:
-            for key in sorted(state.compressed):
-                close = sorted((reach(s, state.compressed[key].centre())[0], d) for d, s in state.discard.items() if reach(s, state.compressed[key].centre())[1])
-                if close:
-                    state.discard[close[0][1]] = state.discard[close[0][1]].plus(state.compressed.pop(key))
-        state.rounds.append((number, len(state.discard), sum(s.n for s in state.discard.values()), len(state.compressed), sum(s.n for s in state.compressed.values()), state.retained.count()))
+def step(state: State, chunk: DataFrame, k: int = CLUSTERS, first_points: int = 10_000) -> State:
+    """state after one more chunk of (point_id, features): the first opens the sets, the others are absorbed."""
+    number = len(state.rounds)
+    chunk = materialize(chunk.select("point_id", "features"), "chunk")
+    if not number:
+        n = chunk.count()
+        head = materialize(chunk.orderBy("point_id").limit(first_points if n > first_points else -(-n // 10)), "head")
+        rest = chunk.join(head.select("point_id"), "point_id", "left_anti")
+        placed, sums = kmeans(head, k)
+        state.discard = {f"D{int(key):04d}": s for key, s in sums.items()}
+        state.place(placed.select("point_id", F.concat(F.lit("D"), "cluster").alias("cluster")), number)
+        groups, sums = kmeans(rest, 3 * k, 3)
+        _, alone, sums = separate(groups, sums)
+        state.compressed = {f"R0C{key}": s for key, s in sums.items()}
+        state.retained = materialize(alone, "retained")
+    else:
+        near, rest = absorbed(chunk, state.discard)
+        added(state.discard, summaries(near))
+        state.place(near, number)
+        near, rest = absorbed(rest, state.compressed)
+        added(state.compressed, summaries(near))
+        state.retained = materialize(state.retained.unionByName(rest), "retained")
+        groups, sums = kmeans(state.retained, 3 * k, 5)
+        _, alone, sums = separate(groups, sums)
+        added(state.compressed, {f"R{number}C{key}": s for key, s in sums.items()})
+        state.retained = materialize(alone, "retained")
+        state.compressed = merge_compressed(state.compressed)
+    state.rounds.append(state.counts(number))
     return state
 
 
+def finish(state: State) -> State:
+    """state after its last chunk: compressed clusters in reach of a discard one join the nearest."""
+    for key in sorted(state.compressed):
+        centre = state.compressed[key].centre()
+        close = sorted((reach(s, centre)[0], d) for d, s in state.discard.items() if reach(s, centre)[1])
+        if close:
+            state.discard[close[0][1]] = state.discard[close[0][1]].plus(state.compressed.pop(key))
+    if state.rounds:
+        state.rounds[-1] = state.counts(len(state.rounds) - 1)
+    return state
+
+
+def bfr(chunks: Iterable[DataFrame], k: int = CLUSTERS, first_points: int = 10_000) -> State:
+    """The state after all chunks of (point_id, features), one at a time."""
+    state = State()
+    for chunk in chunks:
+        step(state, chunk, k, first_points)
+    return finish(state)
+
+
 def round_report(spark, state: State) -> DataFrame:
     return spark.createDataFrame(state.rounds, "round_id int, nof_cluster_discard long, nof_point_discard long, nof_cluster_compression long, nof_point_compression long, nof_point_retained long")
 
 
 def labels(points: DataFrame, state: State) -> DataFrame:
     """(point_id, cluster): number of the discard cluster, -1 for all others."""
-    found = state.placed[0]
-    for more in state.placed[1:]:
-        found = found.unionByName(more)
+    if state.placed is None:
+        return points.select("point_id", F.lit(-1).alias("cluster"))
+    kind = points.schema["point_id"].dataType.simpleString()
+    found = points.sparkSession.read.schema(f"point_id {kind}, cluster string, round int").parquet(state.placed)
     number = F.substring("cluster", 2, 10).cast("int")
     return points.select("point_id").join(found.select("point_id", number.alias("cluster")), "point_id", "left").select("point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

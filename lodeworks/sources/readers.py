@@ -35,8 +35,10 @@ def points_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(cells, F.lit(0)).try_cast("long").alias("point_id"), features.alias("features"))
 
 
-def point_chunks(spark: SparkSession, paths: list[str]) -> Iterator[DataFrame]:
-    """The chunk files one after the other, by name."""
+def point_chunks(spark: SparkSession, paths: str | list[str]) -> Iterator[DataFrame]:
+    """The chunk files of a list or a folder one after the other, by name."""
+    if isinstance(paths, str):
+        paths = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]  # names only
     for path in sorted(paths):
         yield points_csv(spark, path)
 

@@ -20,12 +20,22 @@ def json_document(answers: dict[str, DataFrame]) -> DataFrame:
     return out.select(F.to_json(F.struct(*answers)).alias("value"))
 
 
-def json_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def in_order(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """df sorted by ranges over its part files, if an order is asked for."""
+    return df.orderBy(*order) if order else df
 
 
-def csv_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def json_rows(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    in_order(df, order).write.mode("overwrite").json(path)
+
+
+def csv_rows(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    in_order(df, order).write.mode("overwrite").csv(path, header=True)
+
+
+def similar_pairs(pairs: DataFrame, path: str) -> None:
+    """CSV of b1, b2, sim in that order, from pairs (a, b, sim)."""
+    csv_rows(pairs.select(F.col("a").alias("b1"), F.col("b").alias("b2"), "sim"), path, ("b1", "b2"))
 
 
 def quoted(items: Column) -> Column:
@@ -64,3 +74,11 @@ def point_labels(labels: DataFrame) -> DataFrame:
 def append_csv(df: DataFrame, path: str) -> None:
     """Adds rows to a folder of CSV files: for each batch of a stream."""
     df.write.mode("append").csv(path, header=True)
+
+
+def tag_report(seen: int, tiers: DataFrame) -> DataFrame:
+    """(value): how many events had tags so far, a line for each of (tag, n), most frequent first, and an empty line."""
+    spark = tiers.sparkSession
+    ends = spark.createDataFrame([(0, 0, "", f"The number of tweets with tags from the beginning: {seen}"), (2, 0, "", "")], "part int, _n long, tag string, value string")
+    rows = tiers.select(F.lit(1).alias("part"), (-F.col("n")).alias("_n"), "tag", F.concat_ws(": ", "tag", F.col("n").cast("string")).alias("value"))
+    return ends.unionByName(rows).orderBy("part", "_n", "tag").select("value")

@@ -34,18 +34,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def track(path: str) -> str:
+    """path, to be deleted with what the operator that runs now has written."""
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut and a lost executor loses nothing.
 
     Nothing else reads the shuffles of this write; the session is set to delete them as a query ends.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = track(new_path(spark, name))
     if spark.conf.get(CLEANUP, "false") != "true":
         spark.conf.set(CLEANUP, "true")
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import sampling, sketch
+from ..operators import cluster, sampling, sketch
+from ..sources import writers
 from ..storage import materialize, new_path
 
 
@@ -44,24 +45,44 @@ class StreamedReservoir:
     """A sample of fixed size over an unbounded stream, with its tag report after every batch.
 
     The sample is a written table; a batch merges its own bottom-k into it, so a batch that is run again
-    changes nothing.
+    changes nothing. With a folder, each batch also writes its report there as lines of text.
     """
 
-    def __init__(self, size: int = 100, tiers: int = 3, key: str = "event_id") -> None:
-        self.size, self.tiers, self.key = size, tiers, key
+    def __init__(self, size: int = 100, tiers: int = 3, key: str = "event_id", folder: str | None = None) -> None:
+        self.size, self.tiers, self.key, self.folder = size, tiers, key, folder
+        self.seen: dict[int, int] = {}
         self.sample: DataFrame | None = None
         self.reports: list[DataFrame] = []
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        self.seen[number] = batch.where("size(tags) > 0").count()
         fresh = sampling.reservoir(batch, self.size, self.key)
         if self.sample is not None:
             fresh = sampling.reservoir(self.sample.unionByName(fresh).dropDuplicates([self.key]), self.size, self.key)
         self.sample = materialize(fresh, "reservoir")
         self.reports.append(materialize(sampling.top_tiers(sampling.tag_counts(self.sample), self.tiers), "tiers"))
+        if self.folder is not None:
+            seen = sum(n for k, n in self.seen.items() if k <= number)
+            writers.lines(writers.tag_report(seen, self.reports[-1]), f"{self.folder}/batch={number}")
+
+
+class ChunkedBfr:
+    """BFR over a stream of chunks of points: a batch is a chunk; a batch that is run again is left out."""
+
+    def __init__(self, k: int = cluster.CLUSTERS, first_points: int = 10_000) -> None:
+        self.k, self.first_points, self.state, self.done = k, first_points, cluster.State(), -1
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if number > self.done and not batch.isEmpty():
+            cluster.step(self.state, batch, self.k, self.first_points)
+        self.done = max(self.done, number)
+
+    def result(self) -> cluster.State:
+        return cluster.finish(self.state)
 
 
 def stop_on(spark: SparkSession, fatal: Callable[[str], bool]):
-    """A listener that remembers queries that ended with an error for which fatal(message) holds; their streams stay stopped."""
+    """A listener that stops all other streams once one has ended with an error for which fatal(message) holds, and remembers which."""
     from pyspark.sql.streaming import StreamingQueryListener
 
     class Listener(StreamingQueryListener):
@@ -76,6 +97,8 @@ def stop_on(spark: SparkSession, fatal: Callable[[str], bool]):
         def onQueryTerminated(self, event) -> None:
             if event.exception and fatal(event.exception):
                 self.stopped.append(str(event.id))
+                for query in spark.streams.active:
+                    query.stop()
 
     listener = Listener()
     spark.streams.addListener(listener)

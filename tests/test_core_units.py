@@ -194,6 +194,86 @@ def test_files_round_trip(spark, tmp_path):
     b, u = readers.content_model(spark, str(tmp_path / "m.json"))
     assert b.first()["features"] == [1] and u.first()["features"] == [2, 3]
     assert [c.count() for c in readers.point_chunks(spark, [str(tmp_path / "points")])] == [2]
+    (tmp_path / "chunks").mkdir()
+    for name, n in (("b", 2), ("a", 1)):
+        (tmp_path / "chunks" / name).write_text("1,0.5\n" * n)
+    assert [c.count() for c in readers.point_chunks(spark, str(tmp_path / "chunks"))] == [1, 2]
+    (tmp_path / "n").write_text("17\n")
+    assert readers.single_number(spark, str(tmp_path / "n")).first()["value"] == 17
+    assert readers.literal(spark, [("a", 1)], "k string, v int").first()["v"] == 1
+
+
+def test_written_files(spark, tmp_path):
+    pairs = spark.createDataFrame([("b", "d", 0.5), ("a", "z", 0.1), ("a", "c", 1.0)], "a string, b string, sim double")
+    writers.similar_pairs(pairs, str(tmp_path / "pairs"))
+    text = [line for f in sorted((tmp_path / "pairs").glob("part-*")) for line in f.read_text().splitlines() if line != "b1,b2,sim"]
+    assert text == ["a,c,1.0", "a,z,0.1", "b,d,0.5"]
+    for k in range(2):
+        writers.append_csv(spark.createDataFrame([(k, 5)], "t int, n int"), str(tmp_path / "windows"))
+    assert spark.read.csv(str(tmp_path / "windows"), header=True).count() == 2
+    tiers = spark.createDataFrame([("x", 1, 2), ("b", 3, 1), ("a", 3, 1)], "tag string, n long, tier long")
+    writers.lines(writers.tag_report(7, tiers), str(tmp_path / "report"))
+    assert next((tmp_path / "report").glob("part-*")).read_text() == "The number of tweets with tags from the beginning: 7\na: 3\nb: 3\nx: 1\n\n"
+
+
+def test_operators_delete_what_they_wrote(spark, data):
+    import os
+
+    from lodeworks.plans import registry
+    from lodeworks.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = registry.queries()["q30_item_model"](spark, data)
+    left = set(os.listdir(folder)) - before
+    assert len(left) <= 1 and found.count() > 0
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from lodeworks.__main__ import main
+
+    main(["q04_top_users", data, "--out", str(tmp_path / "out"), "--order", "n"])
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 5 and "Duration" in capsys.readouterr().out
+    main([])
+    assert "q12_frequent_itemsets" in capsys.readouterr().out
+
+
+def test_edges_from_prefixes(spark):
+    """Users of a business that all have, and of rare ones: the pairs that share enough, and no others."""
+    pairs = [(u, 0) for u in range(40)] + [(u, 1 + (u * k) % 11) for u in range(40) for k in range(1, 5)]
+    sets = {u: {b for v, b in pairs if v == u} for u in range(40)}
+    for least in (1, 2, 4):
+        got = {(r["a"], r["b"]) for r in graph.shared_edges(spark.createDataFrame(pairs, "u long, b long"), "u", "b", least).collect()}
+        assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+
+
+def test_streams_of_chunks_and_sockets(spark, tmp_path):
+    rows = [(i, [float(i % 2 * 20 + (i * 7 % 5) / 10), float((i * 3 % 7) / 10)]) for i in range(90)]
+    points = spark.createDataFrame(rows, "point_id long, features array<double>")
+    chunks = [points.where(F.col("point_id") % 3 == k).coalesce(1) for k in range(3)]
+    keeper = streams.ChunkedBfr(k=2)
+    for k, c in enumerate(chunks):
+        keeper(c, k)
+    keeper(chunks[2], 2)  # a batch that is run again
+    assert keeper.result().rounds == cluster.bfr(chunks, k=2).rounds
+
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b'{"city": "a"}\n{"city": "b"}\nbroken\n')
+        threading.Event().wait(8)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    seen = []
+    query = streams.start(readers.socket_cities(spark, "127.0.0.1", server.getsockname()[1]), lambda batch, n: seen.extend(r["city"] for r in batch.collect()), str(tmp_path / "c"), "1 second")
+    query.awaitTermination(6)
+    query.stop()
+    assert sorted(seen, key=str) == [None, "a", "b"] or sorted(seen, key=str) == ["a", "b", None]
 
 
 def test_report_lines(spark):
