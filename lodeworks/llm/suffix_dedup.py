@@ -45,6 +45,10 @@ from .packed import by_key, packed, pair_runs, planes, rows_of, runs, unplaned
 
 U8 = np.uint64
 PAD = 255  # no byte of UTF-8
+#: Strings that are compared with others at once.
+AT_ONCE = 8192
+#: Strings of rows that are made together, unless one row has more.
+AT_MOST = 30_000
 MIX1, MIX2 = U8(0xBF58476D1CE4E5B9), U8(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 LETTERS = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 256, dtype=np.int64).astype(U8) * U8(2) + U8(1)
@@ -57,7 +61,7 @@ class DedupParams:
     #: Entries of an anchor in a bucket from which it is taken apart into windows.
     frequent: int = 50_000
     #: Different surroundings of an anchor in one block from which it is crowded.
-    crowd: int = 64
+    crowd: int = 512
     #: Rows, of a key each, up to which the documents that are asked for bytes are found by a broadcast, after a count.
     broadcast_keys: int = 500_000
     #: Strings that go through the rounds together, unless one anchor has more.
@@ -128,7 +132,7 @@ BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block",
 ANCHORS, CROWDED, HITS, DOCUMENTS, COVERED, MATCHES = range(6)
 #: Kinds of rows in what the anchors tell: of a document, of the bytes a block is asked for, and the keys of its rows.
 TOLD, ASKED, KEYS = range(3)
-SLICE = 4000
+SLICE = 2500
 
 
 def joined_rows(rows: list, kinds: tuple, *columns: tuple[int, type]) -> list[np.ndarray]:
@@ -165,7 +169,7 @@ def repeated_anchors(keyed: DataFrame, n: int, params: DedupParams) -> DataFrame
                 start = pair_runs(h, around)
                 first = np.repeat(start, np.diff(np.append(start, len(h))))
                 gone = ids[doc] > ids[doc][first]
-                for some in np.array_split(np.flatnonzero(gone), max(1, gone.sum() >> 16)):
+                for some in np.array_split(np.flatnonzero(gone), max(1, gone.sum() // AT_ONCE)):
                     one, other = (surroundings(data, offsets[:-1][doc[i]], np.maximum(pos[i].astype(np.int64) - back, 0), np.minimum(pos[i].astype(np.int64) + params.width, sizes[doc[i]]), width) for i in (some, first[some]))
                     gone[some] = (one == other).all(1)
                 out = [(block, DOCUMENTS, block, rk.tobytes(), sizes.tobytes(), b"", b"", b"")]
@@ -260,14 +264,22 @@ def proposed(keyed: DataFrame, found: DataFrame, n: int, buckets: int, params: D
                 yield packed([(k, *(x.tobytes() for x in some)) for k, *some in rows_of(keys[who], *columns)], pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in "abcd")]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                start, size, rk, low = (np.frombuffer(c, np.int64) for c in columns)
-                for b, s, z, r, x in rows_of(np.mod(rk, buckets), start, size, rk, low):
-                    out.append((b, r.tobytes(), x.tobytes(), z.tobytes(), b"".join(data[i : i + k] for i, k in zip(s.tolist(), z.tolist(), strict=True))))
-            yield packed(out, BYTES_ARROW)
+        out, held = [], 0  # sent on by size: a document may be asked for bytes by very many others
+        for whole in batches:
+            for lo in range(0, len(whole), 200):
+                for text, *columns in zip(*(c.to_pylist() for c in whole.slice(lo, 200).columns), strict=True):
+                    data = text.encode()
+                    start, size, rk, low = (np.frombuffer(c, np.int64) for c in columns)
+                    turn = np.cumsum(size) >> 20  # a megabyte of bytes at a time
+                    for t in np.unique(turn):
+                        some = turn == t
+                        for b, s, z, r, x in rows_of(np.mod(rk[some], buckets), start[some], size[some], rk[some], low[some]):
+                            out.append((b, r.tobytes(), x.tobytes(), z.tobytes(), b"".join(data[i : i + k] for i, k in zip(s.tolist(), z.tolist(), strict=True))))
+                            held += int(z.sum())
+                        if held > 4 << 20:
+                            yield packed(out, BYTES_ARROW)
+                            out, held = [], 0
+        yield packed(out, BYTES_ARROW)
 
     asked = found.where(F.col("kind").isin(ASKED, KEYS)).select("key", "kind", "a", "b", "c", "d", "e")
     asked = asked.repartition(n, "key").sortWithinPartitions("key").mapInArrow(resolved, "rk long, a binary, b binary, c binary, d binary")
@@ -303,7 +315,7 @@ def equal_rows(strings: np.ndarray) -> tuple[np.ndarray, int]:
     out[order] = np.cumsum(new) - 1
     one = np.zeros(int(new.sum()), np.int64)
     one[out] = np.arange(len(out))
-    if not all(np.array_equal(strings[i : i + 65536], strings[one[out[i : i + 65536]]]) for i in range(0, len(strings), 65536)):
+    if not all(np.array_equal(strings[i : i + AT_ONCE], strings[one[out[i : i + AT_ONCE]]]) for i in range(0, len(strings), AT_ONCE)):
         _, out = np.unique(np.ascontiguousarray(strings).view(f"V{strings.shape[1]}").ravel(), return_inverse=True)
         return out, int(out.max()) + 1
     return out, int(new.sum())
@@ -391,8 +403,10 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.slice(lo, 1000)
+            made = [len(f or b"") + reach * (f or b"").count(1) for f in whole.column(5).to_pylist()]  # strings of each row
+            cuts = np.flatnonzero(np.diff(np.cumsum(made) // AT_MOST, prepend=-1)).tolist() if made else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(whole)], strict=True):
+                batch = whole.slice(lo, hi - lo)
                 data, offsets = bytes_of(batch.column(2))
                 rks, ids = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
                 where = [np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(3).to_pylist()]
@@ -538,14 +552,15 @@ def digest(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, *what in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
-                data = (text or "").encode()
-                a, b = removed(data, *what)
-                rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(remaining(data, a, b)).hexdigest()))
-            out = packed(rows, schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out.columns], names=["doc_id", *schema.names])
+        for whole in batches:
+            for lo in range(0, len(whole), 500):
+                batch, rows = whole.slice(lo, 500), []
+                for text, *what in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
+                    data = (text or "").encode()
+                    a, b = removed(data, *what)
+                    rows.append((len(data), int((b - a).sum()), len(a), hashlib.sha256(remaining(data, a, b)).hexdigest()))
+                out = packed(rows, schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *out.columns], names=["doc_id", *schema.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return covered(docs.select("doc_id", "text"), params).select("doc_id", "text", *WHAT).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

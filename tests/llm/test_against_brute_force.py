@@ -101,15 +101,15 @@ def repeats(rows: list[tuple], width: int = 50) -> list[tuple]:
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("frequent", [50_000, 1])
-def test_repeats(spark, docs, frequent):
+@pytest.mark.parametrize(("frequent", "crowd"), [(50_000, 512), (1, 512), (50_000, 1)])
+def test_repeats(spark, docs, frequent, crowd):
     rng = random.Random(4)
     bits = ["".join(rng.choice("abé 😀") for _ in range(rng.randrange(20, 130))) for _ in range(12)]
     rows = [(i if rng.random() > 0.05 else None, "".join(rng.choice(bits) + ("x" if rng.random() < 0.3 else "") for _ in range(rng.randrange(5))) or None) for i in range(60)]
     rows += [rows[5], rows[5], (7, rows[9][1]), (1000, "a" * 500), (1001, "a" * 49), (1002, "a" * 50), (1003, "a" * 51 + "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     want = repeats([tuple(r) for r in df.collect()])
-    assert rows_of(suffix_dedup.digest(df, suffix_dedup.DedupParams(frequent=frequent))) == want
+    assert rows_of(suffix_dedup.digest(df, suffix_dedup.DedupParams(frequent=frequent, crowd=crowd))) == want
 
 
 def test_column_wise_order():
