@@ -245,6 +245,13 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
     return len(gaps)
 
 
+def test_ids_of_all_documents_are_the_librarys(spark, data):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    texts += samples() + ["x" * 50_000 + " y", "<|endoftext|>" * 3 + "a <|endoftext|>", "é" * 25_000]
+    library = packing.encoder(packing.VOCABULARY)
+    assert all(packing.encode(t) == library.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_as_few_sequences_as_best_fit(spark, data):
     rows = packing.digest(spark.read.parquet(f"{data}/documents.parquet")).select("length", "sequence_id").collect()
     lengths = [r["length"] for r in rows]
