@@ -41,6 +41,17 @@ def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(schema), schema.types, strict=True)], names=schema.names)
 
 
+def parcels(rows: list[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """packed() by size: a batch for each `most` bytes of the binary columns; rows is emptied meanwhile."""
+    rows.reverse()
+    while rows:
+        some, held = [], 0
+        while rows and held < most:
+            some.append(rows.pop())
+            held += sum(len(x) for x in some[-1] if isinstance(x, bytes))
+        yield packed(some, schema)
+
+
 def pair_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal pairs."""
     return np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)

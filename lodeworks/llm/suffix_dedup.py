@@ -13,10 +13,12 @@ task, as executors share no local folder.
 Whole documents would take as many rounds as the longest has bytes. So the collection is made of what can
 repeat: each window of `width` bytes holds an anchor, the least of its `seed`-byte strings by hash, and
 equal windows hold equal anchors. The strings of the collection are the surroundings of anchors, all
-windows that can hold them. Surroundings that agree in 128 bits of hashes are proposed as equal: only the
-least document of each matters then, and only anchors with different surroundings need rounds. Nothing is
-removed on a hash: proposals of neighbouring anchors are joined into long matches, the bytes of the smaller
-document are sent to the larger one, and what differs stays.
+windows that can hold them; the anchors stand in one column. As equal windows have their anchors in equal
+places, they start in equal columns: a round then sorts only the suffixes of one column, one of each string,
+and only the columns where windows start are read. Surroundings that agree in 128 bits of hashes are proposed
+as equal: only the least document of each matters then, and only anchors with different surroundings need
+rounds. Nothing is removed on a hash: proposals of neighbouring anchors are joined into long matches, the
+bytes of the smaller document are sent to the larger one, and what differs stays.
 
 Anchors, surroundings and results travel as packed arrays, one row for a bucket and a block of documents. A
 block sends equal surroundings only once, so that a passage of all documents reaches a task once for each
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, partitions_for, text_or_empty, tidy
-from .packed import by_key, packed, pair_runs, planes, rows_of, runs, unplaned
+from .packed import by_key, packed, pair_runs, parcels, planes, rows_of, runs, unplaned
 
 U8 = np.uint64
 PAD = 255  # no byte of UTF-8
@@ -162,6 +164,7 @@ def repeated_anchors(keyed: DataFrame, n: int, params: DedupParams) -> DataFrame
                 found = [anchors(data[offsets[i] : offsets[i + 1]], params, powers) for i in range(len(batch))]
                 doc = np.repeat(np.arange(len(found), dtype=np.uint16), [len(p) for p, _, _ in found])
                 pos, h, around = (np.concatenate(x) for x in zip(*found, strict=True))
+                del found
                 rk, ids = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
                 sizes = np.diff(offsets)
                 order = np.lexsort((ids[doc], around, h))
@@ -187,7 +190,8 @@ def repeated_anchors(keyed: DataFrame, n: int, params: DedupParams) -> DataFrame
                     h, around, doc, pos, bucket = (x[~crowded] for x in (h, around, doc, pos, bucket))
                 ends = [*runs(bucket), len(h)]
                 out += [(int(bucket[i]), ANCHORS, block, planes(np.diff(h[i:j], prepend=U8(0))), around[i:j].tobytes(), planes(ids[doc[i:j]]), doc[i:j].tobytes(), pos[i:j].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
-                yield packed(out, BLOB_ARROW)
+                del order, start, first, gone
+                yield from parcels(out, BLOB_ARROW)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
@@ -214,7 +218,7 @@ def repeated_anchors(keyed: DataFrame, n: int, params: DedupParams) -> DataFrame
                 out += [(b, MATCHES, b, *(x.tobytes() for x in columns)) for b, *columns in rows_of(block[gone], doc[gone], pos[gone], block[of], doc[of], pos[of])]
                 out += [(b, HITS, b, *(x.tobytes() for x in columns), b"") for b, *columns in rows_of(block[left], h[left], doc[left], pos[left], apart[left])]
             if out:
-                yield packed(out, BLOB_ARROW)
+                yield from parcels(out, BLOB_ARROW)
 
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), *((x, pa.binary()) for x in "abcde")])
 
@@ -288,12 +292,16 @@ def proposed(keyed: DataFrame, found: DataFrame, n: int, buckets: int, params: D
     return texts.join(asked, "rk").select("text", "a", "b", "c", "d").mapInArrow(read, BYTES)
 
 
-def surroundings(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
-    """Strings data[at + low : at + high] as rows of `width` bytes, padded on the right."""
-    columns = np.arange(width)
-    index = (at + low)[:, None] + columns
-    inside = columns < (high - low)[:, None]
-    return np.where(inside, data[np.minimum(index, len(data) - 1)], np.uint8(PAD))
+def surroundings(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, lead: np.ndarray | int = 0) -> np.ndarray:
+    """Strings data[at + low : at + high] as rows of `width` bytes, from column `lead` on, padded on both sides."""
+    columns, lead = np.arange(width), np.broadcast_to(lead, low.shape)
+    start, end = at + low - lead, high - low + lead
+    out = np.empty((len(low), width), np.uint8)
+    for i in range(0, len(low), AT_ONCE):
+        some = slice(i, i + AT_ONCE)
+        inside = (columns < end[some, None]) & (columns >= lead[some, None])
+        out[some] = np.where(inside, data[np.clip(start[some, None] + columns, 0, len(data) - 1)], np.uint8(PAD))
+    return out
 
 
 def fingerprints(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,13 +346,17 @@ def range_minima(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.minimum(flat[row + low], flat[row + high + 1 - (np.int32(1) << level)])
 
 
-def column_wise(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, common prefix with the one before) of all suffixes of the rows, sorted, by the rounds described above."""
+def column_wise(strings: np.ndarray, columns: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, common prefix with the one before) of all suffixes of the rows, sorted, by the rounds described above.
+
+    With `columns`, of those that start in the first columns, one column after the other, each sorted for itself.
+    """
     m, width = strings.shape
     flat = np.ascontiguousarray(strings).ravel()
     ends = np.arange(1, m + 1, dtype=np.int32) * width - 1  # where the symbol before each suffix stands
     at, prefix, none = ends, np.zeros(m, np.uint8), np.zeros(m, np.uint8)
-    for _ in range(width):
+    done = []
+    for column in reversed(range(width)):
         symbol = flat[at]
         order = np.argsort(symbol, kind="stable")
         s = symbol[order]
@@ -353,17 +365,30 @@ def column_wise(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         if len(same):
             low, high = (order[same] + 1).astype(np.int32), order[same + 1].astype(np.int32)
             between[same + 1] = range_minima(prefix, low, high) + 1
-        at = np.concatenate((ends, at[order] - 1))
-        prefix = np.concatenate((none, between))
+        if columns is None:
+            at = np.concatenate((ends, at[order] - 1))
+            prefix = np.concatenate((none, between))
+        else:
+            if column < columns:
+                done.append((at[order] // width, np.full(m, column), between))
+            at, prefix = at[order] - 1, between
+    if columns is not None:
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
     at = at + 1  # where each suffix starts; an empty one starts behind its row
     who = np.concatenate((np.arange(m), at[m:] // width))
     return who, np.concatenate((np.full(m, width), at[m:] % width)), prefix
 
 
+def leading(strings: np.ndarray, width: int) -> np.ndarray:
+    """Columns before each string, which holds `width` bytes or more."""
+    return (strings[:, : strings.shape[1] - width] == PAD).cumprod(1, dtype=np.uint8).sum(1, dtype=np.int64)
+
+
 def covered_offsets(strings: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of the windows inside the rows that a row of a smaller document has too."""
-    who, offset, prefix = column_wise(strings)
-    inside = offset + width <= (strings != PAD).sum(1)[who]
+    """(string, offset) of the windows inside the rows that a row of a smaller document has too, in the same columns."""
+    who, offset, prefix = column_wise(strings, strings.shape[1] - width + 1)
+    lead = leading(strings, width)
+    inside = (offset >= lead[who]) & (offset + width <= (lead + (strings != PAD).sum(1))[who])
     run = np.cumsum(prefix < width) - 1
     least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, run[inside], docs[who[inside]])
@@ -416,6 +441,7 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
                 apart = np.concatenate([np.frombuffer(x, np.uint8) for x in batch.column(5).to_pylist()]).astype(bool)
                 size = np.diff(offsets)[doc]
                 low, high = np.maximum(pos - reach, 0), np.minimum(pos + width, size)
+                lead = reach - (pos - low)  # all anchors stand in one column, windows taken apart start in the first
                 windows = 0
                 if apart.any():
                     starts = [(np.flatnonzero(apart & (low + k + width <= high)), k) for k in range(reach + 1)]
@@ -423,9 +449,10 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
                     first = np.concatenate([low[i] + k for i, k in starts])
                     keep = ~apart
                     doc, low, high = np.append(doc[keep], doc[at]), np.append(low[keep], first), np.append(high[keep], first + width)
+                    lead = np.append(lead[keep], np.zeros(len(at), np.int64))
                     windows = len(at)
                     h = np.append(h[keep], np.zeros(windows, U8))
-                strings = surroundings(data, offsets[:-1][doc], low, high, room)
+                strings = surroundings(data, offsets[:-1][doc], low, high, room, lead)
                 kind, n = equal_rows(strings)
                 if windows:
                     h[-windows:] = fingerprints(strings[-windows:])[0]
@@ -440,7 +467,7 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
                     order = order[np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (x[1:] != x[:-1]))]
                 for b, i in rows_of((h[order] % U8(buckets)).astype(np.int64), order):
                     out.append((b, STRINGS, h[i].tobytes(), strings[i].tobytes(), ids[doc[i]].tobytes(), rks[doc[i]].tobytes(), low[i].tobytes(), high[i].tobytes()))
-                yield packed(out, COVER_ARROW)
+                yield from parcels(out, COVER_ARROW)
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
@@ -463,6 +490,7 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
                 order, group = order[np.repeat(length > 1, length)], group[np.repeat(length > 1, length)]
                 holders = np.argsort(kind, kind="stable")
                 first = np.searchsorted(kind[holders], np.arange(n + 1))
+                lead = leading(strings, width)
                 lo = 0
                 while lo < len(order):
                     hi = min(lo + params.together, len(order))
@@ -475,12 +503,13 @@ def covers(keyed: DataFrame, known: DataFrame, bytes_of_others: DataFrame, n: in
                         at = holders[np.repeat(first[classes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
                         off = np.repeat(offset, many)
                         stay = ~gone[at]
-                        at, off = at[stay], off[stay]
+                        at = at[stay]
+                        off = off[stay] - lead[at]
                         parts.append((rk[at], low[at] + off, low[at] + off + width))
                     lo = hi
                 out += intervals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             if out:
-                yield packed(out, COVER_ARROW)
+                yield from parcels(out, COVER_ARROW)
 
     schema = pa.schema([("rk", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "at", "size", "bytes"))])
 

@@ -125,6 +125,30 @@ def test_column_wise_order():
         assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_rounds_handle_each_string_once(monkeypatch):
+    """The work of a round grows with the strings alone, and finds all windows of surroundings whose anchors stand in one column."""
+    import numpy as np
+
+    rng = random.Random(6)
+    sides = [("".join(rng.choice("ab") for _ in range(22)), "".join(rng.choice("ab") for _ in range(22))) for _ in range(8)]
+    seed = "".join(rng.choice("abcd") for _ in range(28))
+    texts = [(x[rng.choice((0, 0, 9, 22)) :] + seed + y).encode() for x in (a for a, _ in sides) for y in (b for _, b in sides) for _ in range(3)]
+    ids = np.array([rng.randrange(99) for _ in texts])
+    size = np.array([len(t) for t in texts])
+    lead = 72 - size
+    strings = suffix_dedup.surroundings(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.zeros(len(size), np.int64), size, 72, lead)
+    first: dict = {}
+    for t, i in zip(texts, ids, strict=True):
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(first.get(t[j : j + 50], 99), i)
+    want = {(w, j + lead[w]) for w, t in enumerate(texts) for j in range(len(t) - 49) if first[t[j : j + 50]] < ids[w]}
+    most, minima = [], suffix_dedup.range_minima
+    monkeypatch.setattr(suffix_dedup, "range_minima", lambda x, low, high: most.append(len(x)) or minima(x, low, high))
+    who, offset = suffix_dedup.covered_offsets(strings, ids, 50)
+    assert set(zip(who.tolist(), offset.tolist(), strict=True)) == want and want
+    assert max(most) == len(texts)
+
+
 def test_removal_keeps_columns(docs, none):
     out = suffix_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
