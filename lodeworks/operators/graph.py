@@ -9,32 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, materialize
+from ..storage import broadcast_if_small, global_row_number, materialize
 from .components import components
 
 #: Edges up to which a graph counts as small: its adjacency may go to each task, or its splitting to the driver.
 SMALL_EDGES = 200_000
 SPLIT_EDGES = 5_000
 EXACT = 9
+#: Groups of businesses of which a pair of users must share two in one.
+PAIR_GROUPS = 6
 
 
 def shared_edges(pairs: DataFrame, user: str, business: str, least: int = 7) -> DataFrame:
     """(a, b), a < b, of users with at least so many businesses in common; users without an edge are not in the graph.
 
-    With businesses in one order, rare before frequent, two such users share one of their first
-    n - least + 1 already: only these are joined, so a business of many users makes pairs for few of
-    them, and the pairs are counted from whole sets.
+    Businesses are numbered rare before frequent and dealt into groups by their number, one group less
+    than a pair must share: two such users then share two of one group, and with all but the most
+    frequent of the groups also two of their first n - least + groups + 1. A business is joined with
+    what follows it in its user's group, and only pairs that share of that too leave the join: the
+    pairs that a single business makes are never written, shuffled or counted.
     """
-    members = pairs.select(F.col(user).alias("id"), F.col(business).alias("idx")).distinct()
+    members = pairs.select(F.col(user).alias("id"), F.col(business).alias("idx")).where("id is not null and idx is not null").distinct()
     members = materialize(members, "members")
-    frequency = members.groupBy("idx").agg(F.count("*").alias("df"))
-    ordered = members.join(broadcast_if_small(frequency), "idx").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "idx"))).alias("o"))
-    ordered = ordered.where(F.size("o") >= least).select("id", F.transform("o", lambda x: x["idx"]).alias("items"))
-    ordered = materialize(ordered, "ordered")
-    first = ordered.select("id", F.explode(F.slice("items", F.lit(1), F.size("items") - (least - 1))).alias("idx"))
-    found = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "idx").where("a < b").select("a", "b").distinct()
+    frequency = materialize(members.groupBy("idx").agg(F.count("*").alias("df")), "frequency")
+    ranks, n = global_row_number(frequency, ["df", "idx"], "ranks")
+    ranks = ranks.select("idx", F.col("_lw_row").cast("int" if n < 1 << 31 else "long").alias("r"))
+    ordered = members.join(broadcast_if_small(ranks), "idx").groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("items"))
+    ordered = materialize(ordered.where(F.size("items") >= least), "ordered")
+    groups = min(least - 1, PAIR_GROUPS)
+    first = F.slice("items", F.lit(1), F.size("items") - (least - 1 - groups))
+    if groups:
+        group = lambda g: F.filter(first, lambda r: r % groups == g)
+        dealt = ordered.select("id", F.explode(F.array(*[group(g) for g in range(groups)])).alias("g"))
+        rows = dealt.where("size(g) > 1").select("id", "g", F.posexplode("g").alias("at", "r")).where("at + 1 < size(g)")
+        rows = rows.select("id", "r", F.slice("g", F.col("at") + 2, F.size("g")).alias("rest"))
+    else:
+        rows = ordered.select("id", F.explode(first).alias("r"), F.array().cast("array<int>").alias("rest"))
+    left, right = (rows.select("r", F.col("id").alias(x), F.col("rest").alias(f"rest_{x}")) for x in ("a", "b"))
+    found = left.hint("merge").join(right, "r").where("a < b")  # an exploded side is larger than its files tell
+    found = materialize((found.where(F.arrays_overlap("rest_a", "rest_b")) if groups else found).select("a", "b").distinct(), "candidates")
     whole = lambda x: ordered.select(F.col("id").alias(x), F.col("items").alias(f"of_{x}"))
-    both = found.join(whole("a"), "a").join(whole("b"), "b")
+    both = broadcast_if_small(found).join(whole("a"), "a").join(whole("b"), "b")
     return both.where(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b")
 
 

@@ -313,3 +313,12 @@ def test_girvan_newman_takes_the_graph_of_seven_shared_parts(spark, monkeypatch)
     rows = spark.createDataFrame([(u, p) for u in (1, 2) for p in range(7)] + [(3, p) for p in range(6)], "user_id long, business_id long")
     monkeypatch.setattr(registry.inputs, "order_reviews", lambda spark, d: rows)
     assert [r["members"] for r in registry.queries()["q40_girvan_newman"](spark, "").collect()] == ["1,2"]
+
+
+def test_users_of_one_common_business_make_no_written_pairs(spark, monkeypatch):
+    """All of 60 users share one business with each other, two of them eight: only what can be an edge is written."""
+    written, keep = {}, graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    pairs = [(u, 100 * min(u, v) + max(u, v)) for u in range(60) for v in range(60) if u != v] + [(u, 9000 + k) for u in (3, 7) for k in range(7)]
+    got = graph.shared_edges(spark.createDataFrame(pairs, "u long, b long"), "u", "b", 7).collect()
+    assert [tuple(r) for r in got] == [(3, 7)] and written["candidates"].count() == 1
