@@ -322,3 +322,23 @@ def test_users_of_one_common_business_make_no_written_pairs(spark, monkeypatch):
     pairs = [(u, 100 * min(u, v) + max(u, v)) for u in range(60) for v in range(60) if u != v] + [(u, 9000 + k) for u in (3, 7) for k in range(7)]
     got = graph.shared_edges(spark.createDataFrame(pairs, "u long, b long"), "u", "b", 7).collect()
     assert [tuple(r) for r in got] == [(3, 7)] and written["candidates"].count() == 1
+
+
+def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Users of few businesses: blocks give what pairs by joins give, of signatures of one and two rows a band, and make no candidate pairs."""
+    rows = [(u, (u * k * k + k) % 12, (u * 7 + k * 3) % 5 + 1) for u in range(90) for k in range(9)]
+    ratings = recommend.mean_ratings(spark.createDataFrame(rows, "user_id long, business_id long, stars long"))
+    wanted = spark.createDataFrame([(u, b) for u in range(0, 95, 3) for b in range(14)], "user_id long, business_id long")
+    average, hashes = recommend.business_average(ratings), [(3, 5), (7, 2), (11, 3), (2, 9)]
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    for band_rows in (1, 2):
+        with monkeypatch.context() as m:
+            m.setattr(recommend, "crowded", lambda *_: False)
+            model = recommend.user_model(ratings, hashes, band_rows=band_rows)
+            joined, predicted = key(model), key(recommend.predict_by_users(wanted, ratings, model, average, 4))
+        with monkeypatch.context() as m:
+            m.setattr(similarity, "candidate_pairs", None)
+            m.setattr(recommend.user_blocks, "USERS", 16)
+            m.setattr(recommend.user_blocks, "COLUMNS", 5)
+            assert key(recommend.user_model(ratings, hashes, band_rows=band_rows)) == joined and joined
+            assert key(recommend.predict_by_hashed_users(wanted, ratings, hashes, average, 4, band_rows=band_rows)) == predicted
