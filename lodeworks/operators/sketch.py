@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bloom_bits, string_mod, trailing_zeros
+from ..storage import broadcast_if_small, materialize
 
 #: Coefficients are drawn once and stated here, so that every run and the SQL share them: (a, b) of hash k by a fixed rule.
 BLOOM_HASHES = [(7919 * (k + 1) ** 3 + 104729, 1299709 * (k + 3)) for k in range(7)]
@@ -41,13 +44,40 @@ def estimate(r: Column) -> Column:
     return F.array_sort(F.array(*[mean(g) for g in range(FM_GROUPS)]))[FM_GROUPS // 2].cast("long")
 
 
+MICROSECONDS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def microseconds(span: str) -> int:
+    n, unit = span.split()
+    return int(n) * MICROSECONDS[unit.lower().removesuffix("s")]
+
+
+def by_slice(events: DataFrame, window: str, slide: str) -> DataFrame:
+    """Distinct (at, city) of (ts, city): at is the start of a slice of time that no window cuts, so that events are deduplicated before windows multiply them."""
+    named = events.where("city is not null and city <> ''")
+    span = f"{math.gcd(microseconds(window), microseconds(slide))} microseconds"
+    return named.select(F.window("ts", span)["start"].alias("at"), "city").distinct()
+
+
+def counts_of_slices(slices: DataFrame, window: str, slide: str) -> DataFrame:
+    """(window_start, truth, estimate) of written (at, city); a city is hashed once, whatever its windows."""
+    hashed = materialize(slices.select("city").distinct().withColumn("z", zeros(F.col("city"))), "hashed")
+    cities = slices.select(F.window("at", window, slide).alias("w"), "city").distinct()
+    each = cities.join(broadcast_if_small(hashed), "city").groupBy("w").agg(F.count("*").alias("truth"), *[F.max(F.get("z", F.lit(k))).alias(f"r{k}") for k in range(len(FM_HASHES))])
+    return named_windows(each.select("w", "truth", F.array(*[f"r{k}" for k in range(len(FM_HASHES))]).alias("r")))
+
+
+def named_windows(each: DataFrame) -> DataFrame:
+    return each.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "truth", estimate(F.col("r")).alias("estimate"))
+
+
 def windowed_counts(events: DataFrame, window: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
     """(window_start, truth, estimate) of (ts, city): exact and estimated distinct cities of each sliding window; batch or stream."""
-    named, most = events.where("city is not null and city <> ''"), F.array(*[F.max(F.get("z", F.lit(k))) for k in range(len(FM_HASHES))]).alias("r")
-    span = F.window("ts", window, slide).alias("w")
-    if events.isStreaming:  # one stateful aggregation; its sets leave the state with their windows
-        each = named.withColumn("z", zeros(F.col("city"))).groupBy(span).agg(F.size(F.collect_set("city")).cast("long").alias("truth"), most)
-    else:
-        cities = named.select(span, "city").distinct()
-        each = cities.withColumn("z", zeros(F.col("city"))).groupBy("w").agg(F.count("*").alias("truth"), most)
-    return each.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "truth", estimate(F.col("r")).alias("estimate"))
+    if not events.isStreaming:
+        return counts_of_slices(materialize(by_slice(events, window, slide), "slices"), window, slide)
+    # one stateful aggregation; its sets leave the state with their windows, and are hashed as they leave
+    named = events.where("city is not null and city <> ''")
+    each = named.groupBy(F.window("ts", window, slide).alias("w")).agg(F.collect_set("city").alias("cities"))
+    lowest = F.array(*[F.lit(-1)] * len(FM_HASHES))
+    r = F.aggregate(F.transform("cities", lambda c: zeros(c)), lowest, lambda most, z: F.zip_with(most, z, lambda x, y: F.greatest(x, y)))
+    return named_windows(each.select("w", F.size("cities").cast("long").alias("truth"), r.alias("r")))

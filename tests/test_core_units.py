@@ -342,3 +342,26 @@ def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
             m.setattr(recommend.user_blocks, "COLUMNS", 5)
             assert key(recommend.user_model(ratings, hashes, band_rows=band_rows)) == joined and joined
             assert key(recommend.predict_by_hashed_users(wanted, ratings, hashes, average, 4, band_rows=band_rows)) == predicted
+
+
+def test_windows_count_distinct_slices(spark, monkeypatch):
+    """25-second windows every 10 seconds: events become distinct cities of 5-second slices before windows multiply them; batches may come again."""
+    import datetime
+
+    written, keep = {}, sketch.materialize
+    monkeypatch.setattr(sketch, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    rows = [(f"2024-01-01 00:00:{(i * i) % 37:02d}", f"c{i % 7}") for i in range(600)]
+    df = spark.createDataFrame(rows, "t string, city string").select(F.col("t").cast("timestamp_ntz").alias("ts"), "city")
+    zero, want = datetime.datetime(2024, 1, 1), {}
+    for t, c in rows:
+        second = int(t[-2:])
+        for start in range(-30, 60, 10):
+            if start <= second < start + 25:
+                want.setdefault(str(zero + datetime.timedelta(seconds=start)), set()).add(c)
+    got = sorted(map(tuple, sketch.windowed_counts(df, "25 seconds", "10 seconds").collect()))
+    assert [(w, n) for w, n, _ in got] == sorted((w, len(c)) for w, c in want.items())
+    assert written["slices"].count() == len({(int(t[-2:]) // 5, c) for t, c in rows})
+    keeper = streams.StreamedDistinct("25 seconds", "10 seconds")
+    for k in (0, 1, 1, 2, 0):
+        keeper(df.where(F.col("ts").cast("string").substr(-1, 1).cast("int") % 3 == k), k)
+    assert sorted(map(tuple, keeper.counts().collect())) == got
