@@ -525,7 +525,9 @@ def event_stream(spark, d):
 @query("q60_streamed_distinct", FM)
 def q60(spark, d):
     s = event_stream(spark, d).select("ts", F.concat_ws("_", "event_type", F.get_json_object("props", "$.k")).alias("city"))
-    return streams.run_available(sketch.windowed_counts(s, "30 minutes", "10 minutes"), "windows", "complete")
+    keeper = streams.StreamedDistinct("30 minutes", "10 minutes")
+    streams.start(s, keeper, new_path(spark, "windows-checkpoint"), None).awaitTermination()
+    return keeper.counts()
 
 
 @query("q61_streamed_tiers", TIERS)

@@ -41,6 +41,28 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return kept["state"]
 
 
+class StreamedDistinct:
+    """Distinct cities by sliding window of a stream of (ts, city), all windows since its beginning.
+
+    The state is a written table of distinct slices of time and cities; a batch adds its own, so a
+    batch that is run again changes nothing, and events are deduplicated before they meet the state.
+    """
+
+    def __init__(self, window: str = "30 seconds", slide: str = "10 seconds") -> None:
+        self.window, self.slide = window, slide
+        self.slices: DataFrame | None = None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        fresh = sketch.by_slice(batch, self.window, self.slide)
+        if self.slices is not None:
+            fresh = self.slices.unionByName(fresh).distinct()
+        self.slices = materialize(fresh, "slices")
+
+    def counts(self) -> DataFrame:
+        """(window_start, truth, estimate) of all that came."""
+        return sketch.counts_of_slices(self.slices, self.window, self.slide)
+
+
 class StreamedReservoir:
     """A sample of fixed size over an unbounded stream, with its tag report after every batch.
 
