@@ -115,8 +115,11 @@ def joined(df: DataFrame) -> DataFrame:
     return df.withColumn("items", F.array_join("items", ","))
 
 
-def threshold(long: DataFrame) -> int:
-    return inputs.basket_threshold(long.select("basket").distinct().count())
+def packed_baskets(spark, d) -> tuple[DataFrame, int]:
+    """(part, has, w) of the baskets, joined and packed once, and the threshold."""
+    pairs = inputs.brand_pairs(spark, d).withColumn("item", F.col("item").cast("string"))
+    packed = materialize(itemsets.packed(itemsets.in_parts(pairs, PARTS), ["part"]), "packed-baskets")
+    return packed, inputs.basket_threshold(packed.agg(F.sum("w")).first()[0] or 0)
 
 
 @query("q09_baskets_by_user", f"WITH {BAS} SELECT basket, string_agg(item, ',' ORDER BY item) AS items FROM bas GROUP BY basket")
@@ -155,8 +158,8 @@ LOCAL = f"WITH {BAS}, b0 AS (SELECT basket, item, basket % {PARTS} AS part FROM
 
 @query("q10_local_candidates", LOCAL)
 def q10(spark, d):
-    long = baskets(spark, d)
-    return joined(itemsets.local_candidates(long, float(threshold(long)), PARTS))
+    sets, least = packed_baskets(spark, d)
+    return joined(itemsets.local_candidates(sets, float(least), PARTS))
 
 
 @query(
@@ -165,42 +168,38 @@ def q10(spark, d):
 SELECT x.a || ',' || x.b || ',' || y.b AS items FROM p x JOIN p y ON x.a = y.a AND x.b < y.b JOIN p z ON z.a = x.b AND z.b = y.b""",
 )
 def q11(spark, d):
-    long = baskets(spark, d)
-    pairs = itemsets.mine(long, 5 * threshold(long), 2).where(F.size("items") == 2).select("items")
+    sets, least = packed_baskets(spark, d)
+    pairs = itemsets.mine(sets, 5 * least, 2).where(F.size("items") == 2).select("items")
     return joined(itemsets.candidates(pairs))
 
 
 @query("q12_frequent_itemsets", FREQUENT)
 def q12(spark, d):
-    long = baskets(spark, d)
-    return joined(itemsets.mine(long, threshold(long)))
+    return joined(itemsets.mine(*packed_baskets(spark, d)))
 
 
 @query("q12b_two_phase_itemsets", f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas) {levels('(SELECT t FROM thr)')}")
 def q12b(spark, d):
-    long = baskets(spark, d)
-    return joined(itemsets.two_phase(long, threshold(long), PARTS))
+    return joined(itemsets.two_phase(*packed_baskets(spark, d), PARTS))
 
 
 @query("q13_support", f"WITH {BAS} SELECT x.item || ',' || y.item AS items, count(*) AS n FROM bas x JOIN bas y ON x.basket = y.basket AND x.item < y.item WHERE x.item = 'Brand#1' GROUP BY 1")
 def q13(spark, d):
-    long = baskets(spark, d)
-    brands = long.select("item").distinct()
+    long, _ = packed_baskets(spark, d)
+    brands = long.select(F.explode("has").alias("item")).distinct()
     wanted = brands.where("item > 'Brand#1'").select(F.array(F.lit("Brand#1"), "item").alias("items"))
     return joined(itemsets.support(long, wanted)).where("n > 0")
 
 
 @query("q14_fp_growth", FREQUENT)
 def q14(spark, d):
-    long = baskets(spark, d)
-    return joined(itemsets.fp_growth(long, threshold(long)))
+    return joined(itemsets.fp_growth(*packed_baskets(spark, d)))
 
 
 @query("q15_agreement", f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas), f AS ({levels('(SELECT t FROM thr)')}) SELECT unnest(['two_phase', 'fp_growth', 'intersection']) AS name, count(*) AS n FROM f")
 def q15(spark, d):
-    long = materialize(baskets(spark, d), "baskets")
-    t = threshold(long)
-    return itemsets.agreement(materialize(itemsets.two_phase(long, t, PARTS), "two-phase"), itemsets.fp_growth(long, t))
+    sets, least = packed_baskets(spark, d)
+    return itemsets.agreement(materialize(itemsets.two_phase(sets, least, PARTS), "two-phase"), materialize(itemsets.fp_growth(sets, least), "fp-growth"))
 
 
 # similarity -------------------------------------------------------------------------------------
@@ -615,8 +614,8 @@ def q71(spark, d):
 
 @query("q72_itemset_report", f"WITH {BAS}, b0 AS (SELECT basket, item FROM bas), f AS ({levels('5 * (SELECT t FROM thr)', sizes=3)}), l AS (SELECT string_split(items, ',') AS s FROM f) SELECT CAST(len(s) AS INT) AS size, string_agg('(''' || array_to_string(s, ''', ''') || ''')', ',' ORDER BY s) AS value FROM l GROUP BY 1")
 def q72(spark, d):
-    long = baskets(spark, d)
-    return writers.itemset_report(itemsets.mine(long, 5 * threshold(long)))
+    sets, least = packed_baskets(spark, d)
+    return writers.itemset_report(itemsets.mine(sets, 5 * least))
 
 
 @query("q73_community_lines", f"WITH {EDGES}, {LPA} SELECT '''' || string_agg(node::VARCHAR, ''', ''' ORDER BY node) || '''' AS value FROM l5 GROUP BY label")

@@ -365,3 +365,23 @@ def test_windows_count_distinct_slices(spark, monkeypatch):
     for k in (0, 1, 1, 2, 0):
         keeper(df.where(F.col("ts").cast("string").substr(-1, 1).cast("int") % 3 == k), k)
     assert sorted(map(tuple, keeper.counts().collect())) == got
+
+
+def test_baskets_are_packed_once(spark, data, monkeypatch):
+    """One row for all equal baskets of a part, whatever they are repeated; the same sets from packed and long baskets; the lines are joined once."""
+    from lodeworks.plans import inputs, registry
+
+    long = spark.createDataFrame([(b, i) for b in range(60) for i in "abcd"[: 1 + b % 4]] + [(1, "a")], "basket long, item string")
+    dealt = itemsets.packed(itemsets.in_parts(long, 4), ["part"])
+    assert dealt.count() == 4 and dealt.agg(F.sum("w")).first()[0] == 60
+    key = lambda df: sorted((tuple(r["items"]), r["n"]) for r in df.collect())
+    for f in (itemsets.mine, itemsets.fp_growth, lambda x, t: itemsets.two_phase(x, t, 4)):
+        assert key(f(dealt, 15)) == key(f(long, 15)) == [(s, n) for s, n in key(itemsets.mine(long, 1)) if n >= 15]
+    assert itemsets.copies(spark.createDataFrame([(["a"], 20_001)], "has array<string>, w long")).count() == 20_001
+    reads, keep = [], inputs.brand_pairs
+    monkeypatch.setattr(inputs, "brand_pairs", lambda spark, d: reads.append(d) or keep(spark, d))
+    written, store = [], registry.materialize
+    monkeypatch.setattr(registry, "materialize", lambda df, name: written.append(name) or store(df, name))
+    for name in ("q10_local_candidates", "q14_fp_growth", "q15_agreement"):
+        registry.queries()[name](spark, data)
+    assert len(reads) == 3 and written.count("packed-baskets") == 3
